@@ -20,3 +20,18 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.secrets import BASE_KINDS, count, joined, scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    return found.select("doc_id", *(count("spans", k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(joined("spans", BASE_KINDS), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.langid import held_out_fold, identify, learn_profiles
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out_fold(), F.lit(False)))
+    profiles = learn_profiles(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
