@@ -35,3 +35,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out_fold(), F.lit(False)))
     profiles = learn_profiles(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.labelled import held_out_fold
+    from guardframe.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.labelled import held_out_fold
+    from guardframe.llm.quality import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out_fold().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
