@@ -61,3 +61,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit, items = hit_words().alias("n_hit"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", n_hit, F.size("items").cast("long").alias("n_items"), items, (F.size("hits") > 0).alias("contaminated"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.lm import held_out_fold, learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out_fold().alias("held_out"), "text")
+    counts, vocabulary, weights = learn(docs.where(~F.col("held_out")))
+    found = score(docs, counts, vocabulary, weights)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
