@@ -13,3 +13,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.ann import build_index, search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(build_index(vectors, 5), vectors.where(F.col("vec_id") % 50 == 0), 5)
