@@ -70,3 +70,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, vocabulary, weights = learn(docs.where(~F.col("held_out")))
     found = score(docs, counts, vocabulary, weights)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guardframe.llm.html import extract
+
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
