@@ -5,13 +5,16 @@ independent trees: a node selects a few coordinates by hashing its own path,
 and a document goes to one child for each of them, named by its minwise token
 there, so documents meet the oftener the more alike they are. Nodes that are
 small enough are compared exhaustively; larger ones branch again. Signatures
-only propose pairs: a link is confirmed on the two full sets.
+only propose pairs: a link is confirmed on the two full sets. Two passes over
+the trees propose one pair a document and node, so a group of thousands of near
+copies grows together in linear work; the last pass proposes every pair that
+still lies across components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -25,9 +28,12 @@ from guardframe.llm.components import connected_components
 
 #: Independent trees, and coordinates that a node selects.
 TREES, BRANCH = 2, 3
-#: Documents of a node that is compared exhaustively, and levels after which larger nodes are
+#: Single documents of a node that is compared exhaustively (beyond, pairs across components
+#: count), documents that any such node may have, and levels after which larger nodes are
 #: compared block against block instead of branching.
-LEAF, DEPTH = 512, 4
+LEAF, MOST, DEPTH = 2000, 40_000, 4
+#: Partners that one copy of a hub's set is held against.
+PART = 200
 #: Minwise values in a signature, 16 bits each.
 COORDINATES = 64
 #: Ids that are broadcast at most; beyond, the same join is shuffled.
@@ -133,7 +139,8 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-_PLACE = "node long, id long, n long, signature binary"
+_PLACE = "node long, id long, n long, signature binary, component long"
+_KEPT = ("id", "n", "signature", "component")
 
 
 def _places(reps: DataFrame) -> DataFrame:
@@ -144,9 +151,9 @@ def _places(reps: DataFrame) -> DataFrame:
             if batch.num_rows:
                 roots = np.frombuffer(b"".join(batch.column("roots").to_pylist()), dtype=np.uint64)
                 many = pa.array(np.repeat(np.arange(batch.num_rows), TREES * BRANCH))
-                yield pa.RecordBatch.from_arrays([_long(roots), *(batch.column(c).take(many) for c in ("id", "n", "signature"))], names=["node", "id", "n", "signature"])
+                yield pa.RecordBatch.from_arrays([_long(roots), *(batch.column(c).take(many) for c in _KEPT)], names=["node", *_KEPT])
 
-    return reps.select("id", "n", "signature", "roots").mapInArrow(run, _PLACE)
+    return reps.select(*_KEPT, "roots").mapInArrow(run, _PLACE)
 
 
 def _branched(places: DataFrame) -> DataFrame:
@@ -158,7 +165,7 @@ def _branched(places: DataFrame) -> DataFrame:
                 nodes = np.asarray(batch.column("node")).view(np.uint64)
                 down = _children(nodes, _signatures(batch.column("signature")))
                 many = pa.array(np.repeat(np.arange(batch.num_rows), BRANCH))
-                yield pa.RecordBatch.from_arrays([_long(down.ravel()), *(batch.column(c).take(many) for c in ("id", "n", "signature"))], names=["node", "id", "n", "signature"])
+                yield pa.RecordBatch.from_arrays([_long(down.ravel()), *(batch.column(c).take(many) for c in _KEPT)], names=["node", *_KEPT])
 
     return places.mapInArrow(run, _PLACE)
 
@@ -168,23 +175,31 @@ def _blocks(places: DataFrame, sizes: DataFrame) -> DataFrame:
 
     Every two documents of a node meet in one of the pairs, so none is lost.
     """
-    n = F.ceil(F.col("count") * 2 / LEAF).cast("long")
+    n = F.ceil(F.col("documents") * 2 / LEAF).cast("long")
     own = F.pmod(F.xxhash64("id", F.lit(17)), n)
     other = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    return places.join(sizes, "node").withColumn("own", own).withColumn("other", other).select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "n", "signature")
+    return places.join(sizes, "node").withColumn("own", own).withColumn("other", other).select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), *_KEPT)
+
+
+def _sizes(places: DataFrame) -> DataFrame:
+    """Per node its documents and its pairs across components, from partial sums: a node
+    with most of the documents costs each task a row per component."""
+    parts = places.groupBy("node", "component").count()
+    total = parts.groupBy("node").agg(F.sum("count").alias("documents"), F.sum(F.col("count") * F.col("count")).alias("__same"))
+    return total.select("node", "documents", ((F.col("documents") * F.col("documents") - F.col("__same")) / 2).alias("pairs"))
 
 
 def leaves(reps: DataFrame) -> DataFrame:
-    """(``node``, ``id``, ``n``, ``signature``): where documents are to be compared.
+    """Places (``node``, ``id``, ...) where documents of different components are to be compared.
 
-    Only nodes above LEAF documents are joined back to be branched; what meets in
-    a small node stays as it is. Node sizes are partial sums, so a node with most
-    of the documents costs each task one row.
+    A node is compared if it has at most as many such pairs as a leaf of single
+    documents, and is dropped if it is all one component: there is nothing left
+    to find. Only larger nodes are joined back and branched.
     """
     places, out = _places(reps), None
     for depth in range(1, DEPTH + 1):
-        sizes = places.groupBy("node").count()
-        large = materialise(sizes.where(F.col("count") > LEAF), "large")
+        sizes = _sizes(places)
+        large = materialise(sizes.where((F.col("pairs") > LEAF * LEAF / 2) | (F.col("pairs") > 0) & (F.col("documents") > MOST)), "large")
         small = places.join(large.select("node"), "node", "left_anti")
         out = small if out is None else out.unionByName(small)
         if not large.limit(1).count():
@@ -194,108 +209,144 @@ def leaves(reps: DataFrame) -> DataFrame:
     return out.unionByName(_blocks(places, large))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables that hold whole nodes, from batches sorted by node."""
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of equal keys, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
+    before = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        nodes = np.asarray(batch.column("node"))
-        last = int(np.searchsorted(nodes, nodes[-1]))
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        differs = np.flatnonzero(np.any([c != c[-1] for c in columns], axis=0))
+        last = int(differs[-1]) + 1 if differs.size else 0
+        now = tuple(int(c[-1]) for c in columns)
         if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
             held = []
-        elif held and held[-1].column("node")[-1] != batch.column("node")[0]:
-            yield pa.Table.from_batches(held)
+        elif held and before != now:
+            yield pa.Table.from_batches(held).combine_chunks()
             held = []
         held.append(batch.slice(last))
+        before = now
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _runs(nodes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
     """Stretches of two or more equal values."""
-    first = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
-    last = np.append(first[1:], nodes.size)
+    new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(np.append(True, new))
+    last = np.append(first[1:], keys[0].size)
     several = last - first > 1
     yield from zip(first[several].tolist(), last[several].tolist(), strict=True)
 
 
-def _alike(signatures: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each document the later ones that may reach the similarity.
+def _alike(signatures: np.ndarray, n: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For documents sorted by set size: each one, the later ones of other components that
+    may reach the similarity, and how many values of the signatures are equal.
 
-    The signature's share of equal values lies four standard deviations below
-    the threshold or higher; set sizes must allow it.
+    That number lies at most four standard deviations below what the threshold
+    gives; set sizes must allow the similarity.
     """
     share = percent / 100
     least = COORDINATES * (share - 4 * (share * (1 - share) / COORDINATES) ** 0.5)
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
     for i in range(n.size - 1):
-        equal = (signatures[i + 1 :] == signatures[i]).sum(axis=1)
-        low, high = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
-        yield i, np.flatnonzero((equal >= least) & (100 * low >= percent * high)) + i + 1
-
-
-def _proposed(places: DataFrame, percent: int) -> DataFrame:
-    """The places whose document has a possible partner in the same node."""
+        stop = int(ends[i])
+        if stop > i + 1:
+            equal = np.count_nonzero(signatures[i + 1 : stop] == signatures[i], axis=1)
+            found = np.flatnonzero((equal >= least) & (component[i + 1 : stop] != component[i]))
+            if found.size:
+                yield i, found + i + 1, equal[found]
+
+
+def _proposed(places: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (``hub``, ``id``) to be confirmed. A document proposes the node's least id if
+    that may be alike, else the one most alike; with ``every``, all pairs are proposed."""
+
+    def of_node(ids: np.ndarray, n: np.ndarray, component: np.ndarray, signatures: np.ndarray) -> Iterator[tuple[int, int]]:
+        order = np.lexsort((ids, n))
+        ids, n, component, signatures = ids[order], n[order], component[order], signatures[order]
+        pivot = int(np.argmin(ids))
+        best, most = np.full(ids.size, -1), np.zeros(ids.size, dtype=np.int64)
+        for i, partners, equal in _alike(signatures, n, component, percent):
+            if every:
+                sizes = [np.count_nonzero(component == component[x]) for x in (i, partners[0])]
+                yield from ((int(ids[i]), int(ids[j])) if sizes[0] <= sizes[1] else (int(ids[j]), int(ids[i])) for j in partners.tolist())
+                continue
+            strength = equal + np.where((partners == pivot) | (i == pivot), COORDINATES, 0)
+            k = int(np.argmax(strength))
+            if strength[k] > most[i]:
+                best[i], most[i] = partners[k], strength[k]
+            better = strength > most[partners]
+            best[partners[better]], most[partners[better]] = i, strength[better]
+        for i in np.flatnonzero(best >= 0).tolist():
+            yield int(ids[best[i]]), int(ids[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            group = group.combine_chunks()
-            n, taken = np.asarray(group["n"]), np.zeros(group.num_rows, dtype=bool)
-            signatures = _signatures(group["signature"])
-            for first, last in _runs(np.asarray(group["node"])):
-                for i, partners in _alike(signatures[first:last], n[first:last], percent):
-                    if partners.size:
-                        taken[first + i] = True
-                        taken[first + partners] = True
-            yield from group.filter(pa.array(taken)).to_batches()
+        for group in _groups(batches, "node"):
+            nodes, ids, n, component = (np.asarray(group[c]) for c in ("node", "id", "n", "component"))
+            for first, last in _runs(nodes):
+                part = slice(first, last)
+                if (component[part] == component[first]).all():
+                    continue
+                found = list(of_node(ids[part], n[part], component[part], _signatures(group["signature"].slice(first, last - first))))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["hub", "id"])
 
-    return places.repartition("node").sortWithinPartitions("node").mapInArrow(run, _PLACE)
+    pairs = places.repartition("node").sortWithinPartitions("node").mapInArrow(run, "hub long, id long")
+    swap = F.lit(every) & (F.col("hub") > F.col("id")) if every else F.lit(False)
+    return pairs.select(F.when(swap, F.col("id")).otherwise(F.col("hub")).alias("hub"), F.when(swap, F.col("hub")).otherwise(F.col("id")).alias("id")).distinct()
 
 
-def _confirmed(places: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) from the full sets (column ``shingles``) of each node's documents.
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) among the pairs, from the full sets (``id``, ``shingles``).
 
-    Two documents that earlier links of the node already join aren't compared
-    again; what comes out of a node is a star around each joined group's least id.
+    A hub's partners are dealt into parts of bounded size, each with a copy of
+    the hub's set, so a set is shuffled about once for each hub it is held against.
     """
-
-    def joined(group: pa.Table, first: int, last: int) -> Iterator[tuple[int, int]]:
-        part = group.slice(first, last - first)
-        ids, n = np.asarray(part["id"]).tolist(), np.asarray(part["n"])
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in part["shingles"].to_pylist()]
-        above = list(range(len(ids)))
-
-        def root(i: int) -> int:
-            while above[i] != i:
-                above[i] = i = above[above[i]]
-            return i
-
-        for i, partners in _alike(_signatures(part["signature"]), n, percent):
-            for j in partners.tolist():
-                if root(i) != root(j):
-                    shared = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                    if 100 * shared >= percent * (sets[i].size + sets[j].size - shared):
-                        a, b = sorted((root(i), root(j)), key=ids.__getitem__)
-                        above[b] = a
-        yield from ((ids[root(i)], ids[i]) for i in range(len(ids)) if ids[root(i)] != ids[i])
+    counts = pairs.groupBy("hub").count()
+    dealt = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / PART)).cast("long").alias("part"), "id")
+    members = dealt.unionAll(dealt.select("hub", "part", F.col("hub").alias("id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            group = group.combine_chunks()
-            links = [x for first, last in _runs(np.asarray(group["node"])) for x in joined(group, first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return places.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
-
+        for group in _groups(batches, "hub", "part"):
+            hubs, ids = np.asarray(group["hub"]), np.asarray(group["id"])
+            links = []
+            for first, last in _runs(hubs, np.asarray(group["part"])):
+                found = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["shingles"].slice(first, last - first).combine_chunks()]
+                own = [x for x, i in zip(found, ids[first:last].tolist(), strict=True) if i == hubs[first]]
+                for x, i in zip(found, ids[first:last].tolist(), strict=True):
+                    if i != hubs[first]:
+                        for hub in own:
+                            shared = np.intersect1d(hub, x, assume_unique=True).size
+                            if 100 * shared >= percent * (hub.size + x.size - shared):
+                                links.append((int(hubs[first]), i))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return members.join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(``id``, ``shingles``) of the documents in the pairs, and of no others."""
+    ids = materialise(pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct(), "ids").withColumnRenamed("id", key)
+    few = ids.count() <= BROADCAST_IDS
+    wanted = docs.where(F.col(key).isNotNull()).join(F.broadcast(ids) if few else ids, key, "left_semi")
 
-def _sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), _binaries([shingle_set(t, size, hashes) for t in batch.column("text").to_pylist()])], names=["id", "shingles"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, shingles binary")
+    return wanted.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, shingles binary")
+
+
+def _labelled(reps: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``reps`` with the component that each belongs to so far."""
+    if roots is None:
+        return reps.withColumn("component", F.col("id"))
+    return reps.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("root", "id")).drop("root")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -309,7 +360,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     other columns are not read.
 
     Shuffled: a signature for each distinct set, then per place in a tree
-    (6 on the first level) 150 bytes, then the full sets of only those documents
+    (6 on the first level) 160 bytes, then the full sets of only those documents
     that have a possible partner. Nothing larger than a count reaches the driver.
     """
     seen = materialise(sketches(docs, key, text, size), "sketches")
@@ -317,15 +368,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         seen.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("roots").alias("roots")),
         "representatives",
     )
-    proposed = materialise(_proposed(leaves(reps), percent), "proposed")
-    ids = materialise(proposed.select("id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.where(F.col(key).isNotNull()).join((F.broadcast if few else _plain)(ids.withColumnRenamed("id", key)), key, "left_semi")
-    links = _confirmed(proposed.join(_sets(wanted, key, text, size), "id"), percent)
-    roots = connected_components(links)
+    roots, links, alive = None, None, reps
+    for every in (False, False, True):
+        pairs = materialise(_proposed(leaves(_labelled(alive, roots)), percent, every), "pairs")
+        found = materialise(_confirmed(pairs, _sets(docs, pairs, key, text, size), percent), "links")
+        links = found if links is None else links.unionAll(found)
+        roots = connected_components(links)
+        if alive is reps:  # later passes are about documents that have a possible partner at all
+            some = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct()
+            alive = materialise(reps.join(some, "id", "left_semi"), "alive")
     same = reps.select("digest", F.col("id").alias("rep")).join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = seen.select("id", "n", "digest").join(same, "digest", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
-
-
-_plain: Callable[[DataFrame], DataFrame] = lambda df: df
