@@ -77,8 +77,10 @@ class Vocabulary:
 
     def __init__(self, held: list[tuple[str, int]], tokens: int, distinct: int):
         self.tokens, self.distinct = tokens, distinct
-        self.symbol = {w.encode(): k for k, (w, _) in enumerate(held[:FREQUENT])}
-        self.logs = {w.encode(): math.log10(n + SMOOTH) for w, n in held}
+        words = [w.encode() for w, _ in held]
+        self.place = {w: k for k, w in enumerate(words)}
+        self.log_table = np.log10(np.array([n for _, n in held] or [1], dtype=np.float64) + SMOOTH)
+        self.symbol_table = np.array([k if k < FREQUENT else self.tail(w) for k, w in enumerate(words)] or [0], dtype=np.int64)
         mass = [n + SMOOTH for _, n in held[:FREQUENT]]
         self.total = tokens + SMOOTH * (distinct + 1)
         self.rare = self.total - sum(mass)
@@ -90,27 +92,46 @@ class Vocabulary:
         self.member_prior = np.zeros((CLASSES, MEMBERS), dtype=np.float32)
         self.member_prior[1:] = np.log(members / members.sum(axis=1, keepdims=True))
 
-    def symbols(self, words: list[bytes]) -> list[int]:
-        known, crc = self.symbol.get, zlib.crc32
-        return [s if (s := known(w)) is not None else FREQUENT + crc(w[-2:]) % TAILS for w in words]
+    @staticmethod
+    def tail(word: bytes) -> int:
+        """Symbol of a word that isn't frequent: a hash of its last two bytes."""
+        return FREQUENT + zlib.crc32(word[-2:]) % TAILS
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places among the held words, -1 for others."""
+        get = self.place.get
+        return np.array([get(w, -1) for w in words], dtype=np.int64)
 
-def context_rows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the texts in one array, and the (3 x tokens) rows of their features."""
-    flat = np.array([s for t in texts for s in t], dtype=np.int64)
-    first = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    def symbols(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        out = self.symbol_table[places]
+        for k in np.flatnonzero(places < 0).tolist():
+            out[k] = self.tail(words[k])
+        return out
+
+
+def context_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (symbols) of the texts in one array, and the (3 x tokens) rows of their features."""
+    flat = np.concatenate(texts)
+    lengths = np.array([t.size for t in texts])
+    first = np.cumsum(lengths) - lengths
     one, two = np.roll(flat, 1), np.roll(flat, 2)
     one[first] = START
     two[first] = START
-    second = first[[len(t) > 1 for t in texts]] + 1
-    two[second] = START
+    two[first[lengths > 1] + 1] = START
     mixed = (one * 0x9E3779B1 + two * 0x85EBCA6B) % 0xFFFFFFFB % PAIRS
     return flat, np.stack([one, SYMBOLS + two, 2 * SYMBOLS + mixed])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+def _powers(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the exponentials of its logits, and their sum. Logits are sums of a few
+    small weights and a log share, so they need no shift."""
+    z = weights[rows[0]]
+    for one in rows[1:]:
+        z += weights[one]
+    z += prior
+    np.minimum(z, np.float32(60), out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], dtype=z.dtype)
 
 
 class Model:
@@ -125,34 +146,36 @@ class Model:
         self.members = flat[size:].reshape(size, MEMBERS)
 
     def predict(self, flat: np.ndarray, rows: np.ndarray):
-        """Class probabilities; then for frequent tokens their places, rows and probabilities in the class."""
+        """Each token's class, the classes' exponentials and sums; then of frequent tokens
+        their places, weight rows, and the exponentials and sums within their class."""
         kind = np.where(flat < FREQUENT, 1 + flat // MEMBERS, 0)
-        pc = _softmax(self.classes[rows].sum(axis=0) + self.v.class_prior)
         at = np.flatnonzero(kind)
         inner = rows[:, at] * CLASSES + kind[at]
-        pm = _softmax(self.members[inner].sum(axis=0) + self.v.member_prior[kind[at]])
-        return kind, pc, at, inner, pm
+        return kind, _powers(self.classes, rows, self.v.class_prior), at, inner, _powers(self.members, inner, self.v.member_prior[kind[at]])
 
     def log10(self, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Of each token: its class and, if it is frequent, its place in the class."""
-        kind, pc, at, _, pm = self.predict(flat, rows)
-        out = np.log10(np.maximum(pc[np.arange(flat.size), kind], 1e-30))
-        out[at] += np.log10(np.maximum(pm[np.arange(at.size), flat[at] % MEMBERS], 1e-30))
+        kind, (pc, total), at, _, (pm, inner_total) = self.predict(flat, rows)
+        out = np.log10(np.maximum(pc[np.arange(flat.size), kind] / total, 1e-30))
+        out[at] += np.log10(np.maximum(pm[np.arange(at.size), flat[at] % MEMBERS] / inner_total, 1e-30))
         return out
 
     def update(self, flat: np.ndarray, rows: np.ndarray, seen: Model) -> None:
         """One gradient step on a batch; ``seen`` has the sums of squared gradients."""
-        kind, pc, at, inner, pm = self.predict(flat, rows)
+        kind, (pc, total), at, inner, (pm, inner_total) = self.predict(flat, rows)
+        pc /= total[:, None]
+        pm /= inner_total[:, None]
         pc[np.arange(flat.size), kind] -= 1
         pm[np.arange(at.size), flat[at] % MEMBERS] -= 1
         for weights, squares, where, error in ((self.classes, seen.classes, rows, pc), (self.members, seen.members, inner, pm)):
             for one in where:
                 if not one.size:
                     continue
-                order = np.argsort(one, kind="stable")
-                first = np.flatnonzero(np.append(True, one[order][1:] != one[order][:-1]))
+                order = np.argsort(one.astype(np.uint16), kind="stable")  # fewer rows than that, and a radix sort
+                sorted_rows = one[order]
+                first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
                 g = np.add.reduceat(error[order], first, axis=0) / np.float32(32)
-                touched = one[order][first]
+                touched = sorted_rows[first]
                 squares[touched] += g * g
                 weights[touched] -= RATE * g / np.sqrt(squares[touched] + np.float32(1e-4))
 
@@ -191,10 +214,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: i
             done, held, size = 0, [], 0
             for batch in slices(batches, "text"):
                 for t in batch.column("text").to_pylist():
-                    symbols = vocabulary.symbols(tokens_of(t))
-                    for at in range(0, len(symbols), BATCH_TOKENS):
+                    words = tokens_of(t)
+                    symbols = vocabulary.symbols(words, vocabulary.places(words))
+                    for at in range(0, symbols.size, BATCH_TOKENS):
                         held.append(symbols[at : at + BATCH_TOKENS])
-                        size += len(held[-1])
+                        size += held[-1].size
                         if size >= BATCH_TOKENS:
                             model.update(*context_rows(held), seen)
                             done, held, size = done + size, [], 0
@@ -218,11 +242,24 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: i
     return flat
 
 
+def _least_count(counts: DataFrame, most: int = HELD) -> int:
+    """The least count that at most ``most`` words reach, from the numbers of words by count."""
+    tally = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words"))
+    words = 0
+    least = 1_000_001
+    for row in sorted(tally.collect(), key=lambda r: -r["n"]):
+        words += row["words"]
+        if words > most:
+            break
+        least = row["n"]
+    return least
+
+
 def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """Counts of all tokens, the vocabulary and the trained weights."""
     counts = materialise(token_counts(docs, text), "counts")
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-    held = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HELD).collect()]
+    held = sorted(((r["word"], r["n"]) for r in counts.where(F.col("n") >= _least_count(counts)).collect()), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(held, total["tokens"] or 0, total["distinct"])
     return counts, vocabulary, train(docs, vocabulary, text)
 
@@ -243,27 +280,40 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.n
     words_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs, rare = Model(vocabulary, flat), vocabulary.logs, math.log10(vocabulary.rare) if vocabulary.rare > 0 else 0.0
+        model, rare = Model(vocabulary, flat), math.log10(vocabulary.rare) if vocabulary.rare > 0 else 0.0
         row = TaskContext.get().partitionId() << 40
+
+        def probabilities(symbols: list[np.ndarray]) -> list[float]:
+            """Of each text the sum of what the model gives its classes and frequent words, in batches of many texts."""
+            sums, held, size = np.zeros(len(symbols)), [], 0
+            for k, one in enumerate(symbols):
+                for at in range(0, one.size, BATCH_TOKENS):
+                    held.append((k, min(at, 2), one[max(0, at - 2) : at + BATCH_TOKENS]))  # a long text's parts see what stands before them
+                    size += held[-1][2].size
+                if size >= BATCH_TOKENS or k == len(symbols) - 1:
+                    each = model.log10(*context_rows([h[2] for h in held]))
+                    ends = np.cumsum([h[2].size for h in held])
+                    for (text_no, skipped, part), end in zip(held, ends.tolist(), strict=True):
+                        sums[text_no] += each[end - part.size + skipped : end].sum(dtype=np.float64)
+                    held, size = [], 0
+            return sums.tolist()
+
         for batch in slices(batches, "__text", 1 << 20):
+            texts = [tokens_of(t) for t in batch.column("__text").to_pylist()]
+            found = [vocabulary.places(words) for words in texts]
+            symbols = [vocabulary.symbols(words, at) for words, at in zip(texts, found, strict=True)]
             n, known, base, sums, left = [], [], [], [], []
-            for t in batch.column("__text").to_pylist():
-                words = tokens_of(t)
-                symbols = vocabulary.symbols(words)
-                found = [logs[w] for w in words if w in logs]
-                common = sum([s < FREQUENT for s in symbols])
-                total = 0.0
-                for at in range(0, len(symbols), 2 * BATCH_TOKENS):
-                    before = symbols[max(0, at - 2) : at]
-                    flat_, rows = context_rows([before + symbols[at : at + 2 * BATCH_TOKENS]])
-                    total += float(model.log10(flat_[len(before) :], rows[:, len(before) :]).sum())
-                held = sum(found)
-                total += held - sum([logs[w] for w, s in zip(words, symbols, strict=True) if s < FREQUENT])
+            for words, at, own_symbols, total in zip(texts, found, symbols, probabilities(symbols), strict=True):
+                inside = at >= 0
+                logs = vocabulary.log_table[at[inside]]
+                common = own_symbols < FREQUENT
+                held_sum = float(logs.sum())
                 n.append(len(words))
-                known.append(len(found))
-                base.append(held)
-                sums.append(total - (len(words) - common) * rare)
-                left.append([{"word": w.decode("utf-8", "replace"), "times": k} for w, k in Counter([w for w in words if w not in logs]).items()])
+                known.append(int(inside.sum()))
+                base.append(held_sum)
+                sums.append(total + float(logs[~common[inside]].sum()) - int((~common).sum()) * rare)
+                others = Counter([words[k] for k in np.flatnonzero(~inside).tolist()])
+                left.append([{"word": w.decode("utf-8", "replace"), "times": k} for w, k in others.items()])
             places = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()), places, pa.array(left, words_type)], names=[*own, "n_tokens", "n_held", "base", "model", "__row", "__words"])
