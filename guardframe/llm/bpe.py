@@ -65,7 +65,7 @@ def _byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts through bounded caches of words and chunks."""
 
-    def __init__(self, path: str, words: int = 250_000, chunk_chars: int = 16 << 20):
+    def __init__(self, path: str, words: int = 150_000, chunk_chars: int = 8 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,6 +73,10 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.printable = _byte_alphabet()
         self.most_words, self.most_chars = words, chunk_chars
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches."""
         self.young, self.old, self.pieces = {}, {}, {}
         self.chunks, self.chunk_chars = {}, 0
 
@@ -162,7 +166,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def _encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker: its caches outlive a task."""
+    """One encoder for each Python worker, so that the vocabulary is read once."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
@@ -181,8 +185,10 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
+        encoder.forget()  # idle workers stay alive; what a task leaves behind would add up
         for batch in slices(batches, "__text", 2 << 20):
             found = [encoder.encode(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f[0]) // 4 for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], names=[key, "n_tokens", "ids", "decoded"])
+        encoder.forget()
 
     return docs.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)

@@ -60,7 +60,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
