@@ -151,8 +151,8 @@ def build_index(vectors: DataFrame, neighbours: int, key: str = "vec_id", vector
     shuffled, so a vector with a third of all rows costs a few rows a task.
     """
     order = Window.partitionBy("v").orderBy("id")
-    few = usable(vectors, key, vector).withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours + 1)
-    sets = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    few = usable(vectors, key, vector).withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1)
+    sets = materialise(few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
     shards = max(1, -(-sets.count() // SHARD))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

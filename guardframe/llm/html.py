@@ -73,8 +73,8 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     """Paths of the page's elements, and its blocks of text, in page order."""
     paths: list[str] = []
     blocks: list[Block] = []
-    # An open element: tag, path, aside, main.
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+    # An open element: tag, path, aside, main, and whether it stands aside within a block (its text is left out).
+    stack: list[tuple[str, tuple[str, ...], bool, bool, bool]] = [("", (), False, False, False)]
     held: list[str] = []
     owner = stack[0]
 
@@ -87,10 +87,10 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
 
     def say(text: str) -> None:
         nonlocal owner
+        if stack[-1][4]:
+            return
         if not held:
-            owner = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0] or x[2] != (stack[-1][2]) or x[0] in ASIDE_TAGS)
-            if stack[-1][2]:
-                owner = stack[-1]
+            owner = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
         held.append(text)
 
     page, at = page or "", 0
@@ -110,7 +110,7 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
                 say(" ")
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if depth:
-                if any(x[0] in BLOCK or x[2] != stack[depth - 1][2] for x in stack[depth:]):
+                if any(x[0] in BLOCK for x in stack[depth:]):
                     flush()
                 del stack[depth:]
             elif tag == "p":
@@ -126,7 +126,7 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
                     break
         elif tag == "br":
             say(" ")
-        _, above, aside, main = stack[-1]
+        _, above, aside, main, muted = stack[-1]
         words, name = set(), tag
         for key, *values in _ATTRIBUTE.findall(m.group(3) or ""):
             value = next((v for v in values if v), "").lower()
@@ -139,13 +139,12 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
         out = tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) and tag not in ("html", "body", *MAIN_TAGS) or (tag == "header" or bool(words & HEADER_WORDS)) and not main
         path = (*above, name)
         paths.append(">".join(path))
-        if out and not aside:
-            flush()
+        muted = muted or out and not aside and tag not in BLOCK
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = len(page) if end is None else end.end()
         elif tag not in VOID and not (m.group(3) or "").rstrip().endswith("/"):
-            stack.append((tag, path, aside or out, main))
+            stack.append((tag, path, aside or out, main, muted))
         elif tag not in VOID and tag in BLOCK:
             flush()
     flush()
