@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import bag
 from guardframe.plans import events, queries  # noqa: F401  registering
 from guardframe.plans.registry import ORACLES, QUERIES
+from helpers import bag
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
