@@ -7,7 +7,7 @@ there, so documents meet the oftener the more alike they are. Nodes that are
 small enough are compared exhaustively; larger ones branch again. Signatures
 only propose pairs: a link is confirmed on the two full sets. Two passes over
 the trees propose one pair a document and node, so a group of thousands of near
-copies grows together in linear work; the last pass proposes every pair that
+copies grows together in linear work; the last pass compares every pair that
 still lies across components.
 """
 
@@ -260,20 +260,25 @@ def _alike(signatures: np.ndarray, n: np.ndarray, component: np.ndarray, percent
                 yield i, found + i + 1, equal[found]
 
 
-def _proposed(places: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (``hub``, ``id``) to be confirmed. A document proposes the node's least id if
-    that may be alike, else the one most alike; with ``every``, all pairs are proposed."""
+def _nodes(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each node that isn't all one component: where its rows begin and, by set size, their
+    order, ids, sizes, components and signatures."""
+    nodes, ids, n, component = (np.asarray(group[c]) for c in ("node", "id", "n", "component"))
+    for first, last in _runs(nodes):
+        part = slice(first, last)
+        if (component[part] != component[first]).any():
+            order = np.lexsort((ids[part], n[part]))
+            yield first, order, ids[part][order], n[part][order], component[part][order], _signatures(group["signature"].slice(first, last - first))[order]
+
+
+def _proposed(places: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``hub``, ``id``) to be confirmed: a document proposes the node's least id if
+    that may be alike, else the one most alike."""
 
     def of_node(ids: np.ndarray, n: np.ndarray, component: np.ndarray, signatures: np.ndarray) -> Iterator[tuple[int, int]]:
-        order = np.lexsort((ids, n))
-        ids, n, component, signatures = ids[order], n[order], component[order], signatures[order]
         pivot = int(np.argmin(ids))
         best, most = np.full(ids.size, -1), np.zeros(ids.size, dtype=np.int64)
         for i, partners, equal in _alike(signatures, n, component, percent):
-            if every:
-                sizes = [np.count_nonzero(component == component[x]) for x in (i, partners[0])]
-                yield from ((int(ids[i]), int(ids[j])) if sizes[0] <= sizes[1] else (int(ids[j]), int(ids[i])) for j in partners.tolist())
-                continue
             strength = equal + np.where((partners == pivot) | (i == pivot), COORDINATES, 0)
             k = int(np.argmax(strength))
             if strength[k] > most[i]:
@@ -285,18 +290,73 @@ def _proposed(places: DataFrame, percent: int, every: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "node"):
-            nodes, ids, n, component = (np.asarray(group[c]) for c in ("node", "id", "n", "component"))
-            for first, last in _runs(nodes):
-                part = slice(first, last)
-                if (component[part] == component[first]).all():
-                    continue
-                found = list(of_node(ids[part], n[part], component[part], _signatures(group["signature"].slice(first, last - first))))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["hub", "id"])
+            found = [pair for _, _, *node in _nodes(group) for pair in of_node(*node)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["hub", "id"])
+
+    return places.repartition("node").sortWithinPartitions("node").mapInArrow(run, "hub long, id long").distinct()
+
+
+def _open(places: DataFrame, percent: int) -> DataFrame:
+    """The places whose document may still be alike to one of another component in the node,
+    in nodes of at most a leaf; larger ones come as pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "node"):
+            taken = np.zeros(group.num_rows, dtype=bool)
+            for first, order, _, *node in _nodes(group):
+                n, component, signatures = node
+                for i, partners, _ in _alike(signatures, n, component, percent):
+                    taken[first + order[i]] = True
+                    taken[first + order[partners]] = True
+            if taken.any():
+                yield from group.filter(pa.array(taken)).to_batches()
+
+    found = materialise(places.repartition("node").sortWithinPartitions("node").mapInArrow(run, _PLACE), "open")
+    large = found.groupBy("node").agg(F.count("*").alias("documents")).where(F.col("documents") > LEAF)
+    return found.join(large.select("node"), "node", "left_anti").unionByName(_blocks(found, large))
+
+
+def _exhausted(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) from comparing all pairs across components in each node.
+
+    A document's full set is held against those of all its possible partners at
+    once; partners that are joined to it by then are left out.
+    """
+
+    def of_node(order: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        above = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        for i, partners, _ in _alike(signatures, n, component, percent):
+            own = root(int(component[i]))
+            partners = [j for j in partners.tolist() if root(int(component[j])) != own]
+            if not partners:
+                continue
+            hub, theirs = sets[order[i]], [sets[order[j]] for j in partners]
+            joined, sizes = np.concatenate(theirs), np.array([x.size for x in theirs])
+            at = np.minimum(np.searchsorted(hub, joined), hub.size - 1)
+            shared = np.add.reduceat((hub[at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+            for k in np.flatnonzero(100 * shared >= percent * (hub.size + sizes - shared)).tolist():
+                other = root(int(component[partners[k]]))
+                if other != root(own):
+                    above[other] = root(own)
+                    yield int(ids[i]), int(ids[partners[k]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "node"):
+            links = []
+            for first, order, *node in _nodes(group):
+                own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["shingles"].slice(first, order.size).combine_chunks()]
+                links += of_node(order, *node, own)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    pairs = places.repartition("node").sortWithinPartitions("node").mapInArrow(run, "hub long, id long")
-    swap = F.lit(every) & (F.col("hub") > F.col("id")) if every else F.lit(False)
-    return pairs.select(F.when(swap, F.col("id")).otherwise(F.col("hub")).alias("hub"), F.when(swap, F.col("hub")).otherwise(F.col("id")).alias("id")).distinct()
+    return places.join(sets, "id").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -328,9 +388,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(``id``, ``shingles``) of the documents in the pairs, and of no others."""
-    ids = materialise(pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct(), "ids").withColumnRenamed("id", key)
+def _sets(docs: DataFrame, some: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(``id``, ``shingles``) of the documents with the given ids, and of no others."""
+    ids = materialise(some.select("id").distinct(), "ids").withColumnRenamed("id", key)
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.where(F.col(key).isNotNull()).join(F.broadcast(ids) if few else ids, key, "left_semi")
 
@@ -369,14 +429,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         "representatives",
     )
     roots, links, alive = None, None, reps
-    for every in (False, False, True):
-        pairs = materialise(_proposed(leaves(_labelled(alive, roots)), percent, every), "pairs")
-        found = materialise(_confirmed(pairs, _sets(docs, pairs, key, text, size), percent), "links")
+    for _ in range(2):
+        pairs = materialise(_proposed(leaves(_labelled(alive, roots)), percent), "pairs")
+        some = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct()
+        found = materialise(_confirmed(pairs, _sets(docs, some, key, text, size), percent), "links")
         links = found if links is None else links.unionAll(found)
-        roots = connected_components(links)
+        roots = connected_components(links, 1)  # only saves the next pass work
         if alive is reps:  # later passes are about documents that have a possible partner at all
-            some = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct()
             alive = materialise(reps.join(some, "id", "left_semi"), "alive")
+    places = materialise(_open(leaves(_labelled(alive, roots)), percent), "unlinked")
+    found = materialise(_exhausted(places, _sets(docs, places, key, text, size), percent), "links")
+    roots = connected_components(links.unionAll(found))
     same = reps.select("digest", F.col("id").alias("rep")).join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = seen.select("id", "n", "digest").join(same, "digest", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
