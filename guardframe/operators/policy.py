@@ -136,7 +136,8 @@ def before_model(df: DataFrame, security: Security, legacy: Legacy, text: str =
         signals = detect.regex_signals(F.col("__labels"), flags)
         if scores:
             signals = F.concat(signals, specialist_signals(F.col(scores)))
-        df = df.withColumn("__hits", merged_hits(signals, security))
+        # A column of its own: the merge refers to it many times.
+        df = df.withColumn("__signals", signals).withColumn("__hits", merged_hits(F.col("__signals"), security))
         decisions = F.col("__hits")
         first = F.filter("__hits", lambda h: _acts(h, "block", "block_and_redact"))
         reasons.append(F.when(F.size(first) > 0, F.concat(F.lit("prompt blocked due to "), F.element_at(first, 1)["category"])))
@@ -167,7 +168,7 @@ def before_model(df: DataFrame, security: Security, legacy: Legacy, text: str =
             content = F.when(flags[category], redact.by_category(content, category, legacy.entities, legacy.words)).otherwise(content)
     reason = F.coalesce(*reasons, F.lit(None).cast("string"))
     out = df.withColumns({"decisions": keep_first(decisions), "block_reason": reason, "content": content})
-    return out.withColumn("blocked", F.col("block_reason").isNotNull()).drop(*names.values(), "__labels", "__hits", "__content_pii", "__content_secrets")
+    return out.withColumn("blocked", F.col("block_reason").isNotNull()).drop(*names.values(), "__labels", "__signals", "__hits", "__content_pii", "__content_secrets")
 
 
 def after_model(df: DataFrame, text: str = "text") -> DataFrame:

@@ -76,15 +76,21 @@ def _hit(rule: str, category: str, action: str, said: Column, kind: str) -> Colu
     return F.struct(F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(action).alias("action"), F.lit(1.0).cast("float").alias("confidence"), sources.alias("sources"), said.alias("evidence"))
 
 
+def _cleaned(hits: Column) -> Column:
+    """Hits with their evidence redacted and cut: one expression for all rules, not one each."""
+    names = ("rule_id", "category", "action", "confidence", "sources")
+    return F.transform(hits, lambda h: F.struct(*(h[n].alias(n) for n in names), evidence(h["evidence"]).alias("evidence")))
+
+
 def shell_hits(command: Column, normal: Column, cfg: ToolGate) -> Column:
-    """Every rule that the command hits, as written or normalized."""
+    """Every rule that the command hits, as written or normalized; the evidence is still raw."""
     hits = []
     for rule, category, pattern, exact in P.SHELL_RULES:
         full = rule_pattern(pattern, exact)
         found = F.when(first_match(command, full) != "", first_match(command, full)).when(first_match(normal, full) != "", first_match(normal, full)).otherwise(command)
-        hits.append(F.when(matches(command, full) | matches(normal, full), _hit(rule, category, rule_action(category, cfg.mode), evidence(found), "tool_gate")))
+        hits.append(F.when(matches(command, full) | matches(normal, full), _hit(rule, category, rule_action(category, cfg.mode), found, "tool_gate")))
     either = lambda pattern: matches(command, pattern) | matches(normal, pattern)
-    hits.append(F.when(either(P.READ_VERBS) & either(P.SENSITIVE_PATHS), _hit("read_sensitive_files", "data_exfil", "block", evidence(command), "tool_gate")))
+    hits.append(F.when(either(P.READ_VERBS) & either(P.SENSITIVE_PATHS), _hit("read_sensitive_files", "data_exfil", "block", command, "tool_gate")))
     return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 
@@ -116,14 +122,15 @@ def judge(calls: DataFrame, cfg: ToolGate, name: str = "name", kind: str = "type
         shell = F.when((F.trim(command) == "") | allowed, empty).otherwise(shell_hits(command, normal, cfg))
         read = F.lower(F.trim(F.col(name))) == "filesystem.read"
         bad = F.filter(path_arguments(a), lambda p: matches(p, P.SENSITIVE_PATHS))
-        files = F.when(read & (F.size(bad) > 0), F.array(_hit("read_sensitive_files", "data_exfil", "block", evidence(F.element_at(bad, 1)), "tool_gate"))).otherwise(empty)
+        files = F.when(read & (F.size(bad) > 0), F.array(_hit("read_sensitive_files", "data_exfil", "block", F.element_at(bad, 1), "tool_gate"))).otherwise(empty)
         url, method = F.coalesce(_string_arg(a, "url"), F.lit("")), F.upper(F.trim(F.coalesce(_string_arg(a, "method"), F.lit(""))))
         body = F.coalesce(F.get_json_object(a, "$.body"), F.lit(""))
         large = (F.octet_length(body) > 4096) | ((body != "") & matches(body, P.BASE64_RUN))
         sends = (url != "") & method.isin("POST", "PUT", "PATCH") & ~host_allowed(url, cfg.hosts) & large
-        http = F.when(sends, F.array(_hit("http_large_body_exfil", "data_exfil", "block", evidence(F.concat_ws(" ", method, url)), "tool_gate"))).otherwise(empty)
+        http = F.when(sends, F.array(_hit("http_large_body_exfil", "data_exfil", "block", F.concat_ws(" ", method, url), "tool_gate"))).otherwise(empty)
         t = F.col("__type")
-        out = calls.withColumn("hits", F.when(t == "shell", shell).when(t == "filesystem", files).when(t == "http", http).otherwise(empty)).drop("__type", "__command", "__normal")
+        found = F.when(t == "shell", shell).when(t == "filesystem", files).when(t == "http", http).otherwise(empty)
+        out = calls.withColumn("hits", _cleaned(found)).drop("__type", "__command", "__normal")
     blocking = F.filter("hits", lambda h: h["action"] == "block")
     action = F.when(F.size(blocking) > 0, "block").when(F.exists("hits", lambda h: h["action"] == "warn"), "warn").otherwise("allow")
     return out.withColumns({"action": action, "primary": F.coalesce(F.try_element_at(blocking, F.lit(1)), F.try_element_at("hits", F.lit(1)))})
@@ -139,11 +146,11 @@ def guard(df: DataFrame, cfg: Guard, text: str = "text") -> DataFrame:
             instruction = INSTRUCTIONS[category]
             if cfg.action(instruction) != "ignore":
                 full = rule_pattern(pattern, exact, dot_all=True)
-                hits.append(F.when(matches(own, full), _hit(rule, instruction, cfg.action(instruction), evidence(first_match(own, full)), "response_guard")))
+                hits.append(F.when(matches(own, full), _hit(rule, instruction, cfg.action(instruction), first_match(own, full), "response_guard")))
         instruction = INSTRUCTIONS["data_exfil"]
         if cfg.action(instruction) != "ignore":
-            hits.append(F.when(matches(own, P.READ_VERBS) & matches(own, P.SENSITIVE_PATHS), _hit("read_sensitive_files", instruction, cfg.action(instruction), evidence(own), "response_guard")))
+            hits.append(F.when(matches(own, P.READ_VERBS) & matches(own, P.SENSITIVE_PATHS), _hit("read_sensitive_files", instruction, cfg.action(instruction), own, "response_guard")))
     found = F.filter(F.array(*hits), lambda h: h.isNotNull()) if hits else F.filter(F.array(_hit("", "", "", F.lit(""), "")), lambda h: F.lit(False))
-    df = df.withColumn("guard_hits", found)
+    df = df.withColumn("guard_hits", _cleaned(found))
     warned = F.exists("guard_hits", lambda h: h["action"] == "warn")
     return df.withColumns({"decision": F.when(warned, "warn").otherwise("allow"), "note": F.when(warned, "unsafe_instruction_detected").otherwise("")})
