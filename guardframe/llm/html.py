@@ -37,6 +37,8 @@ ASIDE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header banner masthead".split())
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset(("articlebody", "main"))
+#: What the name of the outermost marked element ends in; no tag or class holds a blank.
+MARK = " main"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -136,6 +138,8 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
             if value.strip() in MAIN_WORDS or key.lower() == "itemprop" and value == "articlebody":
                 main = True
         main = main or tag in MAIN_TAGS
+        if main and not stack[-1][3]:
+            name += MARK
         out = tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) and tag not in ("html", "body", *MAIN_TAGS) or (tag == "header" or bool(words & HEADER_WORDS)) and not main
         path = (*above, name)
         paths.append(">".join(path))
@@ -226,7 +230,8 @@ def deduce(tokens: list[tuple[str, int, int, int, int]], pages: int) -> tuple[st
     elements = [(t, c) for (on, times, _), members in classes.items() if on == times for t, c in members if t and "=" not in t]
     total = max((c for _, c in elements), default=0)
     # Nested: each once-a-page element with its once-a-page descendants; the innermost that still has most of the text.
-    inner = [t for t, c in elements if total and c >= 0.9 * total]
+    # A marked element needs half of it only.
+    inner = [t for t, c in elements if total and c >= (0.5 if t.endswith(MARK) else 0.9) * total]
     root = max(inner, key=lambda t: (t.count(">"), t), default="")
     constant = [t for t, on, times, _, _ in tokens if "=" in t and on >= PAGES and on >= 0.8 * pages and times == on]
     return root, sorted(constant)
@@ -253,18 +258,14 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, root: str | None, constant: frozenset[str]) -> str:
-    """The page's slots below the template's root, or below a marked main element if the page
-    has one, without what stands aside; on unmarked pages also without the constant blocks."""
+    """The page's slots below the template's root, without what stands aside and without the
+    constant blocks. A marked main element counts only where no root is known or on the page."""
     _, blocks = parse(page)
     own = [b for b in blocks if not b.aside]
-    marked = [b for b in own if b.main]
-    if marked:
-        own = marked
-    else:
-        top = tuple(root.split(">")) if root else ()
-        below = [b for b in own if b.path[: len(top)] == top]
-        own = [b for b in below or own if _text_token(b) not in constant]
-    return "\n\n".join(b.text for b in own)
+    top = tuple(root.split(">")) if root else ()
+    below = [b for b in own if b.path[: len(top)] == top] if top else []
+    own = below or [b for b in own if b.main] or own
+    return "\n\n".join(b.text for b in own if _text_token(b) not in constant)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -32,3 +32,10 @@ def test_template_of_unmarked_pages(spark):
 def test_deduction_keeps_the_innermost_root():
     tokens = [("html", 9, 9, 900, 1), ("html>body", 9, 9, 900, 1), ("html>body>div.x", 9, 9, 880, 1), ("html>body>div.x>p", 9, 30, 880, 5), ("html>body>div.y=ab", 9, 9, 0, 1)]
     assert deduce(tokens, 9) == ("html>body>div.x", ["html>body>div.y=ab"])
+
+
+def test_template_of_marked_pages(spark):
+    page = lambda i: f'<html><body><article class="post"><p>Read our app</p><p>story {i} {"word " * (i + 9)}</p></article><div class="more"><article class="teaser"><p>next {i * 7}</p></article></div></body></html>'
+    df = spark.createDataFrame([(i, f"http://host.example/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in extract(df).collect()}
+    assert by == {i: f"story {i} {'word ' * (i + 9)}".strip() for i in range(8)}
