@@ -3,11 +3,13 @@
 Every element of a page (named by its path of tags and classes) and every
 block of text is a token. Over the pages of a host, tokens with the same
 occurrence vector, that is, with the same counts page by page, form an
-equivalence class; a vector is known by its sums. Classes that most pages
-share are valid and nest by their paths into the host's template. What is left
-are slots: the template element that occurs once a page and under which most
-of the changing text lies is the root of the main text, and text that repeats
-across pages belongs to the template.
+equivalence class; a vector is known by its sums. A host's pages are dealt to
+layouts first: elements that hold most of the text of the pages they are on
+nest by their paths, and a page belongs to the innermost that splits no
+further. Over the pages of a layout, the classes that most pages share make
+the template, and classes of elements and the blocks in them are its optional
+parts. What is left are slots: the element that occurs once a page and under
+which most of the changing text lies is the root of the main text.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ MARK = " main"
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
-#: A template token is on this share of a host's pages, and on so many pages, at least.
+#: A template token is on this share of its layout's pages, and on so many pages, at least.
 SHARE, PAGES = 0.5, 3
 #: Rows of (host, template) that are broadcast at most; beyond, the same join is shuffled.
 BROADCAST_HOSTS = 50_000
@@ -161,22 +163,26 @@ def _text_token(block: Block) -> str:
     return f"{'>'.join(block.path)}={xxhash.xxh64_hexdigest(block.text)}"
 
 
-def page_tokens(page: str | None) -> dict[str, tuple[int, int]]:
-    """Each token's count on the page, and for elements the characters of article text below them.
+def page_tokens(parsed: tuple[list[str], list[Block]]) -> dict[str, tuple[int, int]]:
+    """Each token's count on a parsed page, and the characters of article text below or in it.
 
     The empty token is the page itself.
     """
-    paths, blocks = parse(page)
+    paths, blocks = parsed
     counts: dict[str, int] = defaultdict(int)
     chars: dict[str, int] = defaultdict(int)
     for path in paths:
         counts[path] += 1
+    total = 0
     for block in blocks:
         if not block.aside:
-            counts[_text_token(block)] += 1
+            token = _text_token(block)
+            counts[token] += 1
+            chars[token] += len(block.text)
+            total += len(block.text)
             for k in range(1, len(block.path) + 1):
                 chars[">".join(block.path[:k])] += len(block.text)
-    return {"": (1, 0)} | {t: (n, chars.get(t, 0)) for t, n in counts.items()}
+    return {"": (1, total)} | {t: (n, chars.get(t, 0)) for t, n in counts.items()}
 
 
 _HOST = r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -188,71 +194,153 @@ def host_of(url: str):
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(``host``, ``token``) with ``pages``, ``times``, ``chars`` and ``vector``, the sum over
-    pages of a hash of (page, count): equal vectors have equal sums.
+    """(``host``, ``layout``, ``token``) with ``pages``, ``times``, ``chars``, ``all`` (the pages'
+    characters) and ``vector``, the sum over pages of a hash of (page, count): equal vectors
+    have equal sums. With ``layouts`` in the pages, each page counts under its own;
+    without, only elements are counted, under the empty one.
 
     Summed within each task first, so a host with most of the pages costs no task more.
     """
-    schema = "host string, token string, pages long, times long, chars long, vector long"
+    dealt = "layouts" in pages.columns
+    schema = "host string, layout string, token string, pages long, times long, chars long, all long, vector long"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        held: dict[tuple[str, str], list[int]] = {}
+        held: dict[tuple[str, str, str], list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([k[i] for k in held], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in held.values()], pa.int64()) for i in range(4)]
+            columns = [pa.array([k[i] for k in held], pa.string()) for i in range(3)] + [pa.array([v[i] for v in held.values()], pa.int64()) for i in range(5)]
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["host", "token", "pages", "times", "chars", "vector"])
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in slices(batches, "html"):
-            for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
-                for token, (n, chars) in page_tokens(page).items():
-                    one = held.setdefault((host, token), [0, 0, 0, 0])
+            layouts = batch.column("layouts").to_pylist() if dealt else [None] * batch.num_rows
+            for host, key, page, known in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), layouts, strict=True):
+                parsed = parse(page)
+                tokens = page_tokens(parsed)
+                layout, total = layout_of(parsed[0], known), tokens[""][1]
+                for token, (n, chars) in tokens.items():
+                    if not dealt and "=" in token:
+                        continue
+                    one = held.setdefault((host, layout, token), [0, 0, 0, 0, 0])
                     one[0] += 1
                     one[1] += n
                     one[2] += chars
-                    one[3] += xxhash.xxh32_intdigest(f"{key}:{n}")
+                    one[3] += total
+                    one[4] += xxhash.xxh32_intdigest(f"{key}:{n}")
             if len(held) > HELD:
                 yield flush()
         yield flush()
 
-    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "vector")]
-    return pages.mapInArrow(run, schema).groupBy("host", "token").agg(*sums)
+    sums = [F.sum(c).alias(c) for c in names[3:]]
+    return pages.mapInArrow(run, schema).groupBy("host", "layout", "token").agg(*sums)
+
+
+def layout_of(paths: list[str], layouts: list[str] | None) -> str:
+    """The innermost of the host's layouts that is on the page once, empty if none is."""
+    if not layouts:
+        return ""
+    known = set(layouts)
+    found = [p for p in paths if p in known]
+    return max((p for p in found if found.count(p) == 1), key=lambda p: (p.count(">"), p), default="")
+
+
+def nest(candidates: list[tuple[str, int]]) -> list[str]:
+    """A host's layouts from its elements (path, pages) that hold most of the text of their pages.
+
+    They nest by path. An element whose innermost candidates below share out
+    most of its pages stands for several layouts, or a narrower one; otherwise
+    it is a layout itself, and what lies below is an optional part of it.
+    """
+    pages = dict(candidates)
+    below: dict[str, list[str]] = defaultdict(list)
+    for path in pages:
+        parts = path.split(">")
+        above = (">".join(parts[:k]) for k in range(len(parts) - 1, 0, -1))
+        below[next((p for p in above if p in pages), "")].append(path)
+    out, left = [], list(below[""])
+    while left:
+        path = left.pop()
+        if sum(pages[p] for p in below[path]) >= SHARE * pages[path]:
+            left += below[path]
+            if sum(pages[p] for p in below[path]) == pages[path]:
+                continue
+        out.append(path)
+    return sorted(out)
+
+
+def layouts(pages: DataFrame) -> DataFrame:
+    """(``host``, ``layouts``): the elements, once on each of their pages, that hold most of the
+    text of these pages, whatever share of the host's pages they are."""
+    share = F.when(F.col("token").endswith(MARK), 0.5).otherwise(0.9)
+    found = occurrences(pages).where((F.col("token") != "") & (F.col("pages") >= PAGES) & (F.col("times") == F.col("pages")) & (F.col("chars") > 0) & (F.col("chars") >= share * F.col("all")))
+    gathered = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "pages"))).alias("tokens"))
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("layouts", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [nest([tuple(t.values()) for t in tokens]) for tokens in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(said, pa.list_(pa.string()))], names=schema.names)
+
+    return materialise(gathered.mapInArrow(run, schema), "layouts")
 
 
 def deduce(tokens: list[tuple[str, int, int, int, int]], pages: int) -> tuple[str, list[str]]:
-    """A host's template from its frequent tokens (token, pages, times, chars, vector): the
-    path of the main text's root (empty if none stands out) and the constant blocks."""
+    """A layout's template from its tokens (token, pages, times, chars, vector): the path of
+    the main text's root (empty if none stands out) and the constant blocks.
+
+    Blocks are constant if nearly all pages have them once, or if their class
+    (equal vectors) has an element around them: an optional part of the template.
+    """
     classes: dict[tuple[int, int, int], list[tuple[str, int]]] = defaultdict(list)
     for token, on, times, chars, vector in tokens:
         classes[on, times, vector].append((token, chars))
-    elements = [(t, c) for (on, times, _), members in classes.items() if on == times for t, c in members if t and "=" not in t]
+    elements = [(t, c) for (on, times, _), members in classes.items() if on == times and on >= SHARE * pages for t, c in members if t and "=" not in t]
     total = max((c for _, c in elements), default=0)
     # Nested: each once-a-page element with its once-a-page descendants; the innermost that still has most of the text.
     # A marked element needs half of it only.
     inner = [t for t, c in elements if total and c >= (0.5 if t.endswith(MARK) else 0.9) * total]
     root = max(inner, key=lambda t: (t.count(">"), t), default="")
-    constant = [t for t, on, times, _, _ in tokens if "=" in t and on >= PAGES and on >= 0.8 * pages and times == on]
+    constant: dict[str, int] = {}
+    for (on, times, _), members in classes.items():
+        if on != times or on < PAGES:
+            continue
+        around = {t for t, _ in members if "=" not in t}
+        for token, chars in members:
+            if "=" in token:
+                parts = token.rsplit("=", 1)[0].split(">")
+                if on >= 0.8 * pages or any(">".join(parts[:k]) in around for k in range(1, len(parts) + 1)):
+                    constant[token] = chars
+    if total and sum(c for t, c in constant.items() if t.startswith((f"{root}>", f"{root}="))) >= max(c for t, c in elements if t == root):
+        constant = {}  # the pages are copies of each other: no slot to tell the template from
     return root, sorted(constant)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(``host``, ``root``, ``constant``) for each host with enough pages.
+def templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(``host``, ``layout``, ``root``, ``constant``) for each layout with enough pages.
 
-    Only tokens on half of a host's pages are gathered by host, of which a page
-    of average size bounds the number.
+    Tokens with equal vectors are gathered as one class; all members are on the
+    same pages, so a page bounds their number. A class is valid if most of its
+    layout's pages share it, or if it has elements and blocks and its blocks are
+    the lesser part of its pages' text; otherwise its pages are copies.
     """
-    found = materialise(occurrences(pages).where(F.col("pages") >= PAGES), "occurrences")
-    hosts = found.where(F.col("token") == "").select("host", F.col("pages").alias("all"))
-    frequent = found.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all"))
-    gathered = frequent.groupBy("host").agg(F.max("all").alias("all"), F.sort_array(F.collect_list(F.struct("token", "pages", "times", "chars", "vector"))).alias("tokens"))
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("root", T.StringType()), T.StructField("constant", T.ArrayType(T.StringType()))])
+    keys = ("host", "layout")
+    counted = materialise(occurrences(pages.join(found, "host", "left")).where(F.col("pages") >= PAGES), "occurrences")
+    whole = counted.where(F.col("token") == "").select(*keys, F.col("pages").alias("whole"))
+    block = F.contains("token", F.lit("="))
+    member = F.struct("token", "pages", "times", "chars", "vector")
+    classes = counted.groupBy(*keys, "pages", "times", "vector").agg(F.max(block).alias("blocks"), F.min(block).alias("bare"), F.sum(F.when(block, F.col("chars"))).alias("fixed"), F.max("all").alias("all"), F.collect_list(member).alias("members"))
+    optional = F.col("blocks") & ~F.col("bare") & (F.col("times") == F.col("pages")) & (F.col("fixed") < 0.5 * F.col("all"))
+    valid = classes.join(whole, [*keys]).where((F.col("pages") >= SHARE * F.col("whole")) | optional)
+    gathered = valid.groupBy(*keys).agg(F.max("whole").alias("whole"), F.sort_array(F.flatten(F.collect_list("members"))).alias("tokens"))
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in (*keys, "root")), T.StructField("constant", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [deduce([tuple(t.values()) for t in row["tokens"]], row["all"]) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=schema.names)
+            said = [deduce([tuple(t.values()) for t in row["tokens"]], row["whole"]) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array([f[0] for f in said], pa.string()), pa.array([f[1] for f in said], pa.list_(pa.string()))], names=schema.names)
 
     return materialise(gathered.mapInArrow(run, schema), "templates")
 
@@ -260,7 +348,11 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(page: str | None, root: str | None, constant: frozenset[str]) -> str:
     """The page's slots below the template's root, without what stands aside and without the
     constant blocks. A marked main element counts only where no root is known or on the page."""
-    _, blocks = parse(page)
+    return slots(parse(page)[1], root, constant)
+
+
+def slots(blocks: list[Block], root: str | None, constant: frozenset[str]) -> str:
+    """The main text of a parsed page, as ``main_text``."""
     own = [b for b in blocks if not b.aside]
     top = tuple(root.split(">")) if root else ()
     below = [b for b in own if b.path[: len(top)] == top] if top else []
@@ -278,15 +370,23 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     own = [c for c in pages.columns if c not in (html, "text")]
     host = host_of(url)
-    found = templates(pages.select(host.alias("host"), F.col(key).cast("string").alias("key"), F.col(html).alias("html")))
+    inputs = pages.select(host.alias("host"), F.col(key).cast("string").alias("key"), F.col(html).alias("html"))
+    found = layouts(inputs)
     few = found.count() <= BROADCAST_HOSTS
-    joined = pages.select(*own, host.alias("__host"), F.col(html).alias("__html")).join(F.broadcast(found) if few else found, F.col("__host") == F.col("host"), "left").drop("host", "__host")
+    found = F.broadcast(found) if few else found
+    by_layout = templates(inputs, found).groupBy("host").agg(F.collect_list(F.struct("layout", "root", "constant")).alias("templates"))
+    known = by_layout.join(found, "host", "left")
+    joined = pages.select(*own, host.alias("__host"), F.col(html).alias("__html")).join(F.broadcast(known) if few else known, F.col("__host") == F.col("host"), "left").drop("host", "__host")
     schema = T.StructType([*(pages.schema[c] for c in own), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__html"):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("__html", "root", "constant")), strict=True)
-            texts = [main_text(page, root, frozenset(constant or ())) for page, root, constant in rows]
+            texts = []
+            for page, every, names in zip(*(batch.column(c).to_pylist() for c in ("__html", "templates", "layouts")), strict=True):
+                paths, blocks = parse(page)
+                layout = layout_of(paths, names)
+                root, constant = next(((t["root"], t["constant"]) for t in every or () if t["layout"] == layout), (layout, ()))
+                texts.append(slots(blocks, root or layout, frozenset(constant)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(texts, pa.string())], names=[*own, "text"])
 
     return joined.mapInArrow(run, schema)

@@ -39,3 +39,23 @@ def test_template_of_marked_pages(spark):
     df = spark.createDataFrame([(i, f"http://host.example/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
     by = {r["page_id"]: r["text"] for r in extract(df).collect()}
     assert by == {i: f"story {i} {'word ' * (i + 9)}".strip() for i in range(8)}
+
+
+def test_layouts_of_one_host_have_templates_of_their_own(spark):
+    story = lambda i: f"<p>story {i} {'word ' * (i + 20)}</p>"
+    note = lambda i: '<div class="tip"><p>Now in print</p></div>' if i % 4 == 0 else ""
+    kinds = [
+        lambda i: f'<div class="bar">Welcome</div><div class="box">{story(i)}<p>Call us</p>{note(i)}</div>',
+        lambda i: f'<div class="bar">Bonjour</div><div class="post">{story(i)}<p>Write to us</p></div>',
+        lambda i: f'<div class="bar">Hallo</div><div class="text">{story(i)}<p>Visit us</p></div>',
+    ]
+    rows = [(i, f"http://host.example/{i}", f"<html><body>{kinds[i % 3](i // 3)}</body></html>") for i in range(36)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == {i: f"story {i // 3} {'word ' * (i // 3 + 20)}".strip() for i in range(36)}
+
+
+def test_copies_of_a_page_are_not_a_template(spark):
+    page = lambda i, k: f'<html><body><div class="post-{k}"><p>story {k} {"word " * 9}</p></div><p>tail {i} {"end " * 9}</p></body></html>'
+    rows = [(i, f"http://host.example/{i}", page(i if i > 2 else 0, max(i, 2))) for i in range(9)]
+    by = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i].startswith("story 2 word") for i in range(3)) and by[0] == by[2]
