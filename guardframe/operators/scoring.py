@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,21 @@ def merged_spans(spans: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(_ENTITY), step)
 
 
+def merged_rows(spans: DataFrame, *keys: str) -> DataFrame:
+    """``spans`` (keys, ``start_byte``, ``end_byte``; no end before its start) merged within their
+    keys where they touch or overlap, as ``merged_spans`` does in a row.
+
+    Spans of equal start are one before the shuffle, so a hot key costs a row per
+    start and task; the running end needs no more than one row at a time.
+    """
+    ordered = Window.partitionBy(*keys).orderBy("start_byte")
+    before = F.max("end_byte").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before.isNull() | (F.col("start_byte") > before), 1).otherwise(0)
+    least = spans.groupBy(*keys, "start_byte").agg(F.max("end_byte").alias("end_byte"))
+    runs = least.withColumn("__begins", begins).withColumn("__run", F.sum("__begins").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "__run").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("__run")
+
+
 def entities(labels: Column, offsets: Column) -> Column:
     """Spans from token labels (B-x, I-x, O) and their byte offsets (start, end).
 

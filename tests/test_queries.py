@@ -19,3 +19,14 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, sf_dir, name):
     assert len(QUERIES[name](spark, sf_dir).toPandas()) > 0
+
+
+def test_spans_of_all_users_are_merged(spark, duck, tmp_path):
+    """A hot user, and users beyond those of span_merge."""
+    path = str(tmp_path / "events.parquet")
+    duck.execute(f"COPY (SELECT i AS event_id, CASE WHEN i % 2 = 0 THEN 7 ELSE i % 90 END AS user_id, ['view', 'buy'][1 + i % 2] AS event_type, CAST(i * 37 % 1009 AS DOUBLE) / 3 AS value FROM range(4000) AS t(i)) TO '{path}' (FORMAT parquet)")
+    ours = QUERIES["span_merge_all"](spark, str(tmp_path)).toPandas()
+    sql = ORACLES["span_merge_all"].replace("FROM events", f"FROM '{path}'")
+    assert bag(ours) == bag(duck.execute(sql).df()) and ours["user_id"].max() > 40
+    few = QUERIES["span_merge"](spark, str(tmp_path)).toPandas()
+    assert bag(few) == bag(ours[ours["user_id"] < 40])
