@@ -1,12 +1,14 @@
 """Language-model scoring: a hashed maximum-entropy model.
 
-The probability of a token is that of its class times that of the token within
-its class. Both are softmaxes over the same context features: the word before,
-a hash of the two words before, and the word before that alone (a skip).
-Words that aren't among the most frequent share one class, within which they
-keep their smoothed share of the corpus. Training runs over all training
-documents: each task updates its own copy of the weights, and the changes are
-averaged by the number of tokens, round after round.
+Words are the leaves of a binary tree of classes, built from their counts
+(Huffman), and the probability of a token is the product of the choices on its
+way. Each choice is logistic over the same context features: the word before,
+a hash of the two words before, and the word before that alone (a skip), whose
+weights lie in a hashed table that grows with the vocabulary. Words beyond the
+held vocabulary share one leaf, within which they keep their smoothed share of
+the corpus. Training runs over all training documents: each task updates its
+own copy of the weights, and the changes are averaged by the number of tokens,
+round after round.
 """
 
 from __future__ import annotations
@@ -24,15 +26,14 @@ from pyspark.sql import functions as F
 
 from guardframe.llm.common import fold, materialise, slices
 
-#: Classes (the first is that of rare words), words in each of the others, and hashes of rare words.
-CLASSES, MEMBERS, TAILS = 16, 32, 255
-FREQUENT = (CLASSES - 1) * MEMBERS
-#: Symbols: frequent words, hashes of other words' endings, and what stands before a text.
-START = FREQUENT + TAILS
-SYMBOLS, PAIRS = START + 1, 2048
-ROWS = 2 * SYMBOLS + PAIRS
-#: Words whose counts every task holds; counts of the others are joined.
+#: Words whose counts every task holds, each a leaf of its own; counts of the others are joined.
 HELD = 200_000
+#: Symbols: held words, hashes of other words' endings, and what stands before a text.
+FREQUENT, TAILS = HELD, 255
+START = FREQUENT + TAILS
+SYMBOLS = START + 1
+#: Weights for each held word, at least; the table's size is a power of two.
+WEIGHTS, LEAST_BITS = 8, 16
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
 ROUNDS, RATE, BATCH_TOKENS = 2, 0.15, 16_384
@@ -80,21 +81,51 @@ class Vocabulary:
         words = [w.encode() for w, _ in held]
         self.place = {w: k for k, w in enumerate(words)}
         self.log_table = np.log10(np.array([n for _, n in held] or [1], dtype=np.float64) + SMOOTH)
-        self.symbol_table = np.array([k if k < FREQUENT else self.tail(w) for k, w in enumerate(words)] or [0], dtype=np.int64)
-        mass = [n + SMOOTH for _, n in held[:FREQUENT]]
+        self.symbol_table = np.arange(max(1, len(words)), dtype=np.int64)
+        mass = [n + SMOOTH for _, n in held]
         self.total = tokens + SMOOTH * (distinct + 1)
         self.rare = self.total - sum(mass)
-        members = np.full(FREQUENT, 1e-12)
-        members[: len(mass)] = mass
-        members = members.reshape(CLASSES - 1, MEMBERS)
-        shares = np.concatenate([[self.rare], members.sum(axis=1)]) / self.total
-        self.class_prior = np.log(np.maximum(shares, 1e-12)).astype(np.float32)
-        self.member_prior = np.zeros((CLASSES, MEMBERS), dtype=np.float32)
-        self.member_prior[1:] = np.log(members / members.sum(axis=1, keepdims=True))
+        self.leaves = len(words) + 1  # the last is that of all other words
+        self.bits = max(LEAST_BITS, (WEIGHTS * self.leaves - 1).bit_length())
+        self._grow(np.array([*mass, max(self.rare, 1e-12)]))
+
+    def _grow(self, mass: np.ndarray) -> None:
+        """The tree: of each leaf and inner node its parent's place (-1 for the root) and side, and
+        of each inner node the log odds of its second side."""
+        n = mass.size
+        weight = [*mass.tolist(), *[0.0] * (n - 1)]
+        leaves, parent, side, odds = iter(np.argsort(mass, kind="stable").tolist()), [-1] * len(weight), [0] * len(weight), [0.0] * (n - 1)
+        leaf, inner = next(leaves), n
+        for made in range(n, len(weight)):
+            for k in (0, 1):
+                if leaf is not None and (inner == made or weight[leaf] <= weight[inner]):
+                    least, leaf = leaf, next(leaves, None)
+                else:
+                    least, inner = inner, inner + 1
+                parent[least], side[least] = made - n, k
+                odds[made - n] = math.log(weight[least]) - odds[made - n]
+                weight[made] += weight[least]
+        self.parent, self.side, self.odds = np.array(parent, dtype=np.int32), np.array(side, dtype=np.int8), np.array(odds, dtype=np.float32)
+
+    def ways(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All choices on the tokens' ways: the token's index, the inner node, and the side taken."""
+        at, who = np.minimum(flat, self.leaves - 1), np.arange(flat.size)
+        found = []
+        while True:
+            up = self.parent[at]
+            go = np.flatnonzero(up >= 0)
+            if not go.size:
+                break
+            who, up, taken = who[go], up[go], self.side[at[go]]
+            found.append((who, up, taken))
+            at = up + self.leaves
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int8)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     @staticmethod
     def tail(word: bytes) -> int:
-        """Symbol of a word that isn't frequent: a hash of its last two bytes."""
+        """Symbol of a word that isn't held: a hash of its last two bytes."""
         return FREQUENT + zlib.crc32(word[-2:]) % TAILS
 
     def places(self, words: list[bytes]) -> np.ndarray:
@@ -110,7 +141,7 @@ class Vocabulary:
 
 
 def context_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (symbols) of the texts in one array, and the (3 x tokens) rows of their features."""
+    """Tokens (symbols) of the texts in one array, and the (3 x tokens) numbers of their features."""
     flat = np.concatenate(texts)
     lengths = np.array([t.size for t in texts])
     first = np.cumsum(lengths) - lengths
@@ -118,66 +149,57 @@ def context_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     one[first] = START
     two[first] = START
     two[first[lengths > 1] + 1] = START
-    mixed = (one * 0x9E3779B1 + two * 0x85EBCA6B) % 0xFFFFFFFB % PAIRS
+    mixed = (one * 0x9E3779B1 + two * 0x85EBCA6B) % 0xFFFFFFFB
     return flat, np.stack([one, SYMBOLS + two, 2 * SYMBOLS + mixed])
 
 
-def _powers(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token the exponentials of its logits, and their sum. Logits are sums of a few
-    small weights and a log share, so they need no shift."""
-    z = weights[rows[0]]
-    for one in rows[1:]:
-        z += weights[one]
-    z += prior
-    np.minimum(z, np.float32(60), out=z)
-    np.exp(z, out=z)
-    return z, z @ np.ones(z.shape[1], dtype=z.dtype)
-
-
 class Model:
-    """Weights: for each feature row one per class, and one per word of each class."""
+    """Weights: one for each hash of a feature and an inner node of the tree."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
         self.v = vocabulary
-        size = ROWS * CLASSES
-        flat = np.zeros(size * (1 + MEMBERS), dtype=np.float32) if flat is None else flat
-        self.flat = flat
-        self.classes = flat[:size].reshape(ROWS, CLASSES)
-        self.members = flat[size:].reshape(size, MEMBERS)
+        self.flat = np.zeros(1 << vocabulary.bits, dtype=np.float32) if flat is None else flat
+        self.sums = None
 
     def predict(self, flat: np.ndarray, rows: np.ndarray):
-        """Each token's class, the classes' exponentials and sums; then of frequent tokens
-        their places, weight rows, and the exponentials and sums within their class."""
-        kind = np.where(flat < FREQUENT, 1 + flat // MEMBERS, 0)
-        at = np.flatnonzero(kind)
-        inner = rows[:, at] * CLASSES + kind[at]
-        return kind, _powers(self.classes, rows, self.v.class_prior), at, inner, _powers(self.members, inner, self.v.member_prior[kind[at]])
+        """All choices of the tokens: the token's index, the weights' places by feature, and the
+        logit of the side not taken."""
+        who, node, side = self.v.ways(flat)
+        features = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        features ^= features >> np.uint64(29)
+        own = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        z, places = self.v.odds[node], []
+        for one in features:
+            h = one[who]
+            h += own
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0x94D049BB133111EB)
+            h >>= np.uint64(64 - self.v.bits)
+            places.append(h.astype(np.int64))
+            z += self.flat[places[-1]]
+        return who, side, places, np.where(side == 1, -z, z)
 
     def log10(self, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Of each token: its class and, if it is frequent, its place in the class."""
-        kind, (pc, total), at, _, (pm, inner_total) = self.predict(flat, rows)
-        out = np.log10(np.maximum(pc[np.arange(flat.size), kind] / total, 1e-30))
-        out[at] += np.log10(np.maximum(pm[np.arange(at.size), flat[at] % MEMBERS] / inner_total, 1e-30))
-        return out
+        """Of each token, the leaf it comes to."""
+        who, _, _, other = self.predict(flat, rows)
+        return np.bincount(who, weights=np.logaddexp(np.float32(0), other), minlength=flat.size) / -math.log(10)
 
     def update(self, flat: np.ndarray, rows: np.ndarray, seen: Model) -> None:
         """One gradient step on a batch; ``seen`` has the sums of squared gradients."""
-        kind, (pc, total), at, inner, (pm, inner_total) = self.predict(flat, rows)
-        pc /= total[:, None]
-        pm /= inner_total[:, None]
-        pc[np.arange(flat.size), kind] -= 1
-        pm[np.arange(at.size), flat[at] % MEMBERS] -= 1
-        for weights, squares, where, error in ((self.classes, seen.classes, rows, pc), (self.members, seen.members, inner, pm)):
-            for one in where:
-                if not one.size:
-                    continue
-                order = np.argsort(one.astype(np.uint16), kind="stable")  # fewer rows than that, and a radix sort
-                sorted_rows = one[order]
-                first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-                g = np.add.reduceat(error[order], first, axis=0) / np.float32(32)
-                touched = sorted_rows[first]
-                squares[touched] += g * g
-                weights[touched] -= RATE * g / np.sqrt(squares[touched] + np.float32(1e-4))
+        _, side, places, other = self.predict(flat, rows)
+        if self.sums is None:
+            self.sums = np.zeros_like(self.flat)
+        miss = np.float32(1 / 32) / (1 + np.exp(-np.clip(other, -60, 60)))
+        g = np.where(side == 1, -miss, miss).astype(np.float32)
+        for at in places:
+            np.add.at(self.sums, at, g)
+        for at in places:  # a place that occurs again gets the same values again
+            total = self.sums[at]
+            squares = seen.flat[at] + total * total
+            new = self.flat[at] - RATE * total / np.sqrt(squares + np.float32(1e-4))
+            seen.flat[at], self.flat[at] = squares, new
+            self.sums[at] = 0
 
 
 def _summed(parts: DataFrame, key: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_a_long_text_equals_its_parts():
     whole = model.log10(*context_rows([symbols]))
     part = model.log10(*context_rows([symbols[28:]]))[2:]
     assert np.allclose(whole[30:], part)
+
+
+def test_words_beyond_the_most_frequent_learn_from_their_context():
+    words = [f"w{k:04}" for k in range(2000)]
+    v = Vocabulary([(w, 20) for w in words], 40_000, 2000)
+    see = lambda *ks: v.symbols(t := [words[k].encode() for k in ks], v.places(t))
+    model, seen = Model(v), Model(v)
+    for _ in range(20):
+        model.update(*context_rows([see(1499, 1500)] * 50), seen)
+    after = [model.log10(*context_rows([see(1499, k)]))[-1] for k in (1500, 1700)]
+    assert after[0] > after[1] + 1
