@@ -28,7 +28,9 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_MATERIAL = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{36,}={0,2}(?![A-Za-z0-9+/=_-])")
+_MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{36,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: Further access identifiers, which link weak parts but aren't reported: other prefixes of the same maker, and named ones.
+_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|LTAI|AKID)[A-Za-z0-9]{12,}|(?ai:access_?key_?id|client_?id|account_?(?:name|id)|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""")
 _ENDPOINT = re.compile(r"""(?ai:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+""")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -67,6 +69,15 @@ def _near(starts: list[int], spans: list[Span], span: Span, scope: tuple[int, in
     return at > 0 and spans[at - 1][2] > low and spans[at - 1][0] >= scope[0]
 
 
+def _outermost(spans: list[Span]) -> list[Span]:
+    """Spans by start, without those that end within one before."""
+    out: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s[0], -s[2])):
+        if not out or s[2] > out[-1][2]:
+            out.append(s)
+    return out
+
+
 def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     """Weak parts with complementary parts in their scope.
 
@@ -78,6 +89,8 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         return []
     by_kind = {k: sorted(s for s in [*base, *weak] if s[1] == k) for k in range(len(KINDS))}
     taken = {(s[0], s[2]) for s in base}
+    solid = {k: (v, [s[0] for s in v]) for k, v in by_kind.items() if k < len(BASE_KINDS)}
+    by_kind[1] = _outermost([*by_kind[1], *((m.start(), 1, m.end()) for m in _IDENTIFIER.finditer(text))])
     starts = {k: [s[0] for s in v] for k, v in by_kind.items()}
     ends = [0, *(m.start() for m in _SCOPE_END.finditer(text)), len(text)]
     near = lambda kind, span, scope: _near(starts[kind], by_kind[kind], span, scope, reach)
@@ -86,7 +99,7 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         at = max(1, bisect_right(ends, span[0]))
         scope = (ends[at - 1], ends[at] if at < len(ends) else len(text))
         if span[1] == 3:
-            inside = any(s <= span[0] and span[2] <= e for k in (0, 1, 2) for s, _, e in by_kind[k][max(0, bisect_right(starts[k], span[0]) - 1) : bisect_right(starts[k], span[0])])
+            inside = any(s <= span[0] and span[2] <= e for own, at in solid.values() for s, _, e in own[max(0, bisect_right(at, span[0]) - 1) : bisect_right(at, span[0])])
             if not inside and (near(1, span, scope) or near(4, span, scope)):
                 found.append(span)
         elif near(1, span, scope) and any(near(k, span, scope) for k in (0, 2, 3)):
