@@ -44,7 +44,6 @@ MARK = " main"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
 #: A template token is on this share of its layout's pages, and on so many pages, at least.
 SHARE, PAGES = 0.5, 3
 #: Rows of (host, template) that are broadcast at most; beyond, the same join is shuffled.
@@ -56,10 +55,26 @@ HELD = 200_000
 class Block:
     """A block of text: its path, whether it stands outside the article, and inside a marked main element."""
 
-    __slots__ = ("aside", "main", "path", "text")
+    __slots__ = ("aside", "main", "path", "text", "wraps")
 
-    def __init__(self, path: tuple[str, ...], aside: bool, main: bool, text: str):
-        self.path, self.aside, self.main, self.text = path, aside, main, text
+    def __init__(self, path: tuple[str, ...], aside: bool, main: bool, text: str, wraps: tuple[int, ...] = ()):
+        self.path, self.aside, self.main, self.text, self.wraps = path, aside, main, text, wraps
+
+
+def _unwrap(blocks: list[Block]) -> None:
+    """Ends an aside that is only a wrapper: one known by its words, or a form, that holds a main
+    element with at least half of the text outside other asides, or all of that text."""
+    size: dict[int, int] = defaultdict(int)
+    inner: dict[int, int] = defaultdict(int)
+    open_ = [b for b in blocks if not b.aside]
+    total = sum(len(b.text) for b in open_)
+    for b in open_:
+        for w in b.wraps:
+            size[w] += len(b.text)
+            inner[w] += len(b.text) if b.main else 0
+    lifted = {w for w, n in size.items() if 2 * inner[w] >= total or n == total}
+    for b in open_:
+        b.aside = any(w not in lifted for w in b.wraps)
 
 
 def _closes(tag: str, open_tag: str) -> bool:
@@ -78,7 +93,8 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     paths: list[str] = []
     blocks: list[Block] = []
     # An open element: tag, path, aside, main, and whether it stands aside within a block (its text is left out).
-    stack: list[tuple[str, tuple[str, ...], bool, bool, bool]] = [("", (), False, False, False)]
+    # Last, the numbers of the elements that are aside by their words or as a form.
+    stack: list[tuple[str, tuple[str, ...], bool, bool, bool, tuple[int, ...]]] = [("", (), False, False, False, ())]
     held: list[str] = []
     owner = stack[0]
 
@@ -87,7 +103,7 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                blocks.append(Block(owner[1], owner[2], owner[3], text))
+                blocks.append(Block(owner[1], owner[2], owner[3], text, owner[5]))
 
     def say(text: str) -> None:
         nonlocal owner
@@ -130,11 +146,11 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
                     break
         elif tag == "br":
             say(" ")
-        _, above, aside, main, muted = stack[-1]
+        _, above, aside, main, muted, wraps = stack[-1]
         words, name = set(), tag
         for key, *values in _ATTRIBUTE.findall(m.group(3) or ""):
             value = next((v for v in values if v), "").lower()
-            words |= set(_WORDS.findall(value))
+            words |= set(value.split())
             if key.lower() == "class" and value.split():
                 name += "." + ".".join(sorted(value.split()))
             if value.strip() in MAIN_WORDS or key.lower() == "itemprop" and value == "articlebody":
@@ -142,18 +158,22 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
         main = main or tag in MAIN_TAGS
         if main and not stack[-1][3]:
             name += MARK
-        out = tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) and tag not in ("html", "body", *MAIN_TAGS) or (tag == "header" or bool(words & HEADER_WORDS)) and not main
+        soft = tag == "form" or bool(words & ASIDE_WORDS) and tag not in ("html", "body", *MAIN_TAGS)
+        out = tag in ASIDE_TAGS and tag != "form" or (tag == "header" or bool(words & HEADER_WORDS)) and not main
+        if soft and not out:
+            wraps = (*wraps, len(paths))
         path = (*above, name)
         paths.append(">".join(path))
-        muted = muted or out and not aside and tag not in BLOCK
+        muted = muted or (out or soft) and not aside and tag not in BLOCK
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = len(page) if end is None else end.end()
         elif tag not in VOID and not (m.group(3) or "").rstrip().endswith("/"):
-            stack.append((tag, path, aside or out, main, muted))
+            stack.append((tag, path, aside or out, main, muted, wraps))
         elif tag not in VOID and tag in BLOCK:
             flush()
     flush()
+    _unwrap(blocks)
     return paths, blocks
 
 

@@ -59,3 +59,12 @@ def test_copies_of_a_page_are_not_a_template(spark):
     rows = [(i, f"http://host.example/{i}", page(i if i > 2 else 0, max(i, 2))) for i in range(9)]
     by = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(by[i].startswith("story 2 word") for i in range(3)) and by[0] == by[2]
+
+
+def test_wrappers_do_not_hide_the_page():
+    body = '<h1>Head</h1><p>the story</p><div class="comments">reader</div>'
+    for start, end in (('<div class="layout has-sidebar">', "</div>"), ('<div id="page-with-comments">', "</div>"), ('<form action="/x">', "</form>"), ('<div class="widget">', "</div>")):
+        assert main_text(f"{start}{body}{end}", None, frozenset()) == "Head\n\nthe story", start
+        assert main_text(f"{start}<article>{body}</article>{end}<p>more</p>", None, frozenset()) == "Head\n\nthe story", start
+    teaser = '<div class="related"><article>next</article></div>'
+    assert main_text(f"<article><p>the long story</p></article>{teaser}", None, frozenset()) == "the long story"
