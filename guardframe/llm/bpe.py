@@ -3,8 +3,9 @@
 A rolling hash over the code points cuts each text where the content says so,
 so that the same passage gives the same chunks in every document. A worker
 encodes each chunk once and keeps the result; where two chunks meet, the word
-that the cut went through is encoded anew, and the join is widened until the
-pieces agree with the tokenizer's own encoding of the whole join.
+that the cut went through is encoded anew and compared, with its neighbours,
+with the tokenizer's own encoding. Where they disagree, the window is widened
+to the whole text, which the tokenizer then encodes itself.
 
 The cut is exact because the tokenizer turns every run of white space into
 one space and then drops it: no token spans white space.
@@ -135,13 +136,13 @@ class ChunkEncoder:
             self.chunk_chars += len(text)
         return found
 
-    def _join(self, left: str, word: str, right: str) -> tuple[bytes, str]:
-        """The word across a cut, checked with its whole neighbours against the library."""
+    def _join(self, left: str, word: str, right: str) -> tuple[bytes, str] | None:
+        """The word across a cut, checked with its whole neighbours against the library; None if they disagree."""
         found = self.word(word)
         if left or right:
             window = self.words([left, word, right])
             if window != self._library(" ".join(w for w in (left, word, right) if w)):
-                raise ValueError(f"the join at {word!r} doesn't agree with the tokenizer")
+                return None
         return found
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
@@ -154,7 +155,10 @@ class ChunkEncoder:
             head, middle, tail, first, last = self._chunk(text[at:end])
             carry, at = carry + head, end
             if middle is not None:
-                for one in (self._join(left, carry, first) if cut else self.word(carry), middle):
+                joined = self._join(left, carry, first) if cut else self.word(carry)
+                if joined is None:
+                    return self._library(text)
+                for one in (joined, middle):
                     ids.append(one[0])
                     said.append(one[1])
                 carry, left, cut = tail, last or left, True

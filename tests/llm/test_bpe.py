@@ -44,3 +44,12 @@ def test_every_row_has_a_result(awkward, nothing, library):
     assert len(found) == awkward.count() and encode_decode(nothing, PATH).count() == 0
     ours = sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in found if r["doc_id"] is not None)
     assert ours == sorted((i, len(expected(library, t or "")[0]) // 4, *expected(library, t or "")) for i, t in texts)
+
+
+def test_a_join_that_disagrees_is_repaired(library, monkeypatch):
+    rng, encoder = random.Random(2), ChunkEncoder(PATH)
+    text = " ".join(str(rng.random()) for _ in range(3000))
+    assert len(chunk_ends(text)) > 2
+    real = encoder.word
+    monkeypatch.setattr(encoder, "word", lambda word: (b"", "") if word else real(word))
+    assert encoder.encode(text) == expected(library, text)
