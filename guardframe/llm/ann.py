@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardframe.llm.common import materialise
+from guardframe.llm.common import materialise, released
 
 #: Distinct vectors in a shard, links of a vector (twice as many on the lowest level), and
 #: how many vectors a search keeps while it builds and while it answers.
@@ -213,7 +213,7 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 5, width: int
                         found += [(q, i, -c) for c, i in best[:neighbours]]
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", "vec_id", "score"])
 
-        found = index.mapInArrow(run, "query_id long, vec_id long, score double")
+        found = index.mapInArrow(released(run), "query_id long, vec_id long, score double")
         out = found if out is None else out.unionAll(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

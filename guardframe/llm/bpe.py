@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import slices
+from guardframe.llm.common import released, slices
 
 #: Words for which lower(), NFC and the letter classes can't differ between libraries.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]*")
@@ -195,4 +195,4 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f[0]) // 4 for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], names=[key, "n_tokens", "ids", "decoded"])
         encoder.forget()
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(released(run), schema)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a ``local`` master (tests, the benchmark) gets a temporary
+    folder; a cluster is refused, as its executors share no folder that could be
+    guessed.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="guardframe-")
         atexit.register(shutil.rmtree, local, True)
         found = f"file://{local}"
@@ -47,6 +58,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, after which the worker gives its free memory back.
+
+    Workers outlive their tasks; what each stage's allocators keep would add up
+    over the stages of a long session.
+    """
+
+    @functools.wraps(run)
+    def to_end(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+
+    return to_end
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of an id's decimal text, modulo ``folds``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import materialise, slices
+from guardframe.llm.common import materialise, released, slices
 
 WINDOW, GRAM = 10, 5
 #: UTF-8 bytes of item text that one index (on the driver and in each worker) is made of.
@@ -168,9 +168,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, item_key: str = "item_id",
 
     found, blocks = kept, 0
     for block in item_blocks(items, item_key, text, most_bytes):
-        found = (materialise(found, "overlaps") if blocks else found).mapInArrow(matcher(block), schema)
+        found = (materialise(found, "overlaps") if blocks else found).mapInArrow(released(matcher(block)), schema)
         blocks += 1
-    return found if blocks else found.mapInArrow(matcher([]), schema)
+    return found if blocks else found.mapInArrow(released(matcher([])), schema)
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import materialise, slices
+from guardframe.llm.common import materialise, released, slices
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,7 +255,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
         yield flush()
 
     sums = [F.sum(c).alias(c) for c in names[3:]]
-    return pages.mapInArrow(run, schema).groupBy("host", "layout", "token").agg(*sums)
+    return pages.mapInArrow(released(run), schema).groupBy("host", "layout", "token").agg(*sums)
 
 
 def layout_of(paths: list[str], layouts: list[str] | None) -> str:
@@ -304,7 +304,7 @@ def layouts(pages: DataFrame) -> DataFrame:
             said = [nest([tuple(t.values()) for t in tokens]) for tokens in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(said, pa.list_(pa.string()))], names=schema.names)
 
-    return materialise(gathered.mapInArrow(run, schema), "layouts")
+    return materialise(gathered.mapInArrow(released(run), schema), "layouts")
 
 
 def deduce(tokens: list[tuple[str, int, int, int, int]], pages: int) -> tuple[str, list[str]]:
@@ -362,7 +362,7 @@ def templates(pages: DataFrame, found: DataFrame) -> DataFrame:
             said = [deduce([tuple(t.values()) for t in row["tokens"]], row["whole"]) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array([f[0] for f in said], pa.string()), pa.array([f[1] for f in said], pa.list_(pa.string()))], names=schema.names)
 
-    return materialise(gathered.mapInArrow(run, schema), "templates")
+    return materialise(gathered.mapInArrow(released(run), schema), "templates")
 
 
 def main_text(page: str | None, root: str | None, constant: frozenset[str]) -> str:
@@ -409,4 +409,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 texts.append(slots(blocks, root or layout, frozenset(constant)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(texts, pa.string())], names=[*own, "text"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import fold, slices
+from guardframe.llm.common import fold, released, slices
 
 #: Length of a profile, and of a document's list.
 PROFILE = 400
@@ -90,7 +90,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", most
             keys, counts = _merge(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * keys.size, pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], names=schema.names)
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(run, schema)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(released(run), schema)
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     found: dict[str, list] = defaultdict(list)
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
             found = [model.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def held_out_fold(key: str = "doc_id"):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import materialise, slices
+from guardframe.llm.common import materialise, released, slices
 from guardframe.llm.components import connected_components
 
 #: Independent trees, and coordinates that a node selects.
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 roots.append(_mix(_mix(least[:first]) + np.arange(1, first + 1, dtype=np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, signatures, roots))], names=schema.names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(released(run), schema)
 
 
 _PLACE = "node long, id long, n long, signature binary, component long"
@@ -153,7 +153,7 @@ def _places(reps: DataFrame) -> DataFrame:
                 many = pa.array(np.repeat(np.arange(batch.num_rows), TREES * BRANCH))
                 yield pa.RecordBatch.from_arrays([_long(roots), *(batch.column(c).take(many) for c in _KEPT)], names=["node", *_KEPT])
 
-    return reps.select(*_KEPT, "roots").mapInArrow(run, _PLACE)
+    return reps.select(*_KEPT, "roots").mapInArrow(released(run), _PLACE)
 
 
 def _branched(places: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _branched(places: DataFrame) -> DataFrame:
                 many = pa.array(np.repeat(np.arange(batch.num_rows), BRANCH))
                 yield pa.RecordBatch.from_arrays([_long(down.ravel()), *(batch.column(c).take(many) for c in _KEPT)], names=["node", *_KEPT])
 
-    return places.mapInArrow(run, _PLACE)
+    return places.mapInArrow(released(run), _PLACE)
 
 
 def _blocks(places: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def _proposed(places: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["hub", "id"])
 
-    return places.repartition("node").sortWithinPartitions("node").mapInArrow(run, "hub long, id long").distinct()
+    return places.repartition("node").sortWithinPartitions("node").mapInArrow(released(run), "hub long, id long").distinct()
 
 
 def _open(places: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _open(places: DataFrame, percent: int) -> DataFrame:
             if taken.any():
                 yield from group.filter(pa.array(taken)).to_batches()
 
-    found = materialise(places.repartition("node").sortWithinPartitions("node").mapInArrow(run, _PLACE), "open")
+    found = materialise(places.repartition("node").sortWithinPartitions("node").mapInArrow(released(run), _PLACE), "open")
     large = found.groupBy("node").agg(F.count("*").alias("documents")).where(F.col("documents") > LEAF)
     return found.join(large.select("node"), "node", "left_anti").unionByName(_blocks(found, large))
 
@@ -356,7 +356,7 @@ def _exhausted(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return places.join(sets, "id").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return places.join(sets, "id").repartition("node").sortWithinPartitions("node").mapInArrow(released(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -385,7 +385,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return members.join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(run, "a long, b long")
+    return members.join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(released(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, some: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -399,7 +399,7 @@ def _sets(docs: DataFrame, some: DataFrame, key: str, text: str, size: int) -> D
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), _binaries([shingle_set(t, size, hashes) for t in batch.column("text").to_pylist()])], names=["id", "shingles"])
 
-    return wanted.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, shingles binary")
+    return wanted.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(released(run), "id long, shingles binary")
 
 
 def _labelled(reps: DataFrame, roots: DataFrame | None) -> DataFrame:

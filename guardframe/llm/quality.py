@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import slices
+from guardframe.llm.common import released, slices
 from guardframe.llm.labelled import sample
 
 BUCKETS, WIDTH = 1 << 17, 12
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             found = [document_features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], names=schema.names)
 
-    found = sorted(rows.select(F.col(rows.columns[0]).cast("string").alias("key"), F.col("y").cast("int"), "text").mapInArrow(run, schema).collect(), key=lambda r: (r["key"], bytes(r["ids"])))
+    found = sorted(rows.select(F.col(rows.columns[0]).cast("string").alias("key"), F.col("y").cast("int"), "text").mapInArrow(released(run), schema).collect(), key=lambda r: (r["key"], bytes(r["ids"])))
     return train([(np.frombuffer(bytes(r["ids"]), dtype=np.uint32), np.frombuffer(bytes(r["shares"]), dtype=np.float32)) for r in found], np.array([r["y"] for r in found], dtype=np.int64), shift)
 
 
@@ -146,4 +146,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [scorer.score(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import slices
+from guardframe.llm.common import released, slices
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "material", "endpoint")
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = 200, mask: str | None
                 columns[text] = pa.array([masked(t, s, mask) for t, s in zip(texts, spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*columns.values(), said], names=[*columns, "spans"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def joined(spans: str, only: tuple[str, ...] | None = None):
