@@ -1,359 +1,489 @@
 """Language-model scoring: a hashed maximum-entropy model.
 
-Words are the leaves of a binary tree of classes, built from their counts
-(Huffman), and the probability of a token is the product of the choices on its
-way. Each choice is logistic over the same context features: the word before,
-a hash of the two words before, and the word before that alone (a skip), whose
-weights lie in a hashed table that grows with the vocabulary. Words beyond the
+Words are the leaves of a tree of classes with ``FAN`` branches, built from
+their counts (Huffman), and the probability of a token is the product of the
+softmaxes over the branches on its way. Each softmax sums, over three context
+features, a row of weights found by hash of feature and class: the word before,
+the two words before, and the word before that alone (a skip). Words beyond the
 held vocabulary share one leaf, within which they keep their smoothed share of
-the corpus. Training runs over all training documents: each task updates its
-own copy of the weights, and the changes are averaged by the number of tokens,
-round after round.
+the corpus; as context every word counts as itself.
+
+Words are known by 64-bit hashes, which are worked out for whole batches of
+text at once, so each pass reads the texts anew and nothing the size of the
+corpus is written. Training runs over all training documents: each task updates
+its own copy of the weights, and the changes to a row are averaged over the
+tasks that met it, by how often they did.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardframe.llm.common import fold, materialise, slices
+from guardframe.llm.common import fold, materialise, released, slices
 
 #: Words whose counts every task holds, each a leaf of its own; counts of the others are joined.
-HELD = 200_000
-#: Symbols: held words, hashes of other words' endings, and what stands before a text.
-FREQUENT, TAILS = HELD, 255
-START = FREQUENT + TAILS
-SYMBOLS = START + 1
-#: Weights for each held word, at least; the table's size is a power of two.
-WEIGHTS, LEAST_BITS = 8, 16
-#: Distinct words that a task counts before it passes them on.
-COUNTED = 400_000
-ROUNDS, RATE, BATCH_TOKENS = 2, 0.15, 16_384
-#: Weights in a block of the averaging, and parts in which each block is summed first.
-BLOCK, PARTS = 1 << 16, 16
+HELD = 1 << 18
+#: Branches of a class, floats in a row of weights, and bits of the number of rows, at least.
+FAN, WIDE, LEAST_BITS = 14, 16, 12
+#: Held words for each row of weights.
+SHARED = 2
+#: Sums of distinct words that a task holds before it passes them on.
+COUNTED = 1_000_000
+ROUNDS, RATE, BATCH_TOKENS = 1, 0.3, 2048
+#: Times a row occurs in a batch up to which its gradients are added one by one.
+FEW = 4
+#: Rows of weights in a block of the averaging, and parts in which each block is summed first.
+BLOCK, PARTS = 1 << 12, 16
 SMOOTH = 0.1
+#: Bytes of text that are hashed at once, and split at white space.
+STRETCH = 1 << 19
+
+_BASE = 0x9E3779B97F4A7C15
+_GOLD, _MIX = np.uint64(_BASE), np.uint64(0xBF58476D1CE4E5B9)
+#: Hash of the end of a text (the empty word).
+END = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    x *= _GOLD
+    x ^= x >> np.uint64(32)
+    return x
+
+
+@cache
+def _letters() -> np.ndarray:
+    """A number for each byte, equal for A-Z and a-z; 0 for white space."""
+    table = _mixed(np.arange(1, 257, dtype=np.uint64) * _GOLD) | np.uint64(1)
+    table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
+    table[[0x20, *range(0x09, 0x0E)]] = 0
+    return table
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(1 << bits, base, dtype=np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def _hashed_stretch(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in some bytes; a word also begins at each of ``firsts``."""
+    values = _letters()[data]
+    inside = values != 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[firsts] = inside[firsts]
+    at = np.flatnonzero(starts)
+    if not at.size:
+        return at, np.zeros(0, dtype=np.uint64)
+    ends = np.append(at[1:], data.size)  # what lies between adds nothing
+    up, down = _powers(max(1, int(data.size).bit_length()))
+    values *= up[: data.size]
+    sums = np.zeros(data.size + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return at, _mixed((sums[ends] - sums[at]) * down[at])
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words after lower-casing A-Z, each text's followed by the end's,
+    and where each text begins among them (the number of tokens last). Null texts are empty."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.zeros(0, dtype=np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    firsts = np.unique(offsets[:-1][np.diff(offsets) > 0])
+    places, hashes, at = [], [], 0
+    while at < data.size:
+        stop = min(data.size, at + STRETCH)
+        while stop < data.size:  # to the end of a word
+            white = np.flatnonzero(_letters()[data[stop : stop + 4096]] == 0)
+            stop = stop + int(white[0]) if white.size else min(data.size, stop + 4096)
+            if white.size:
+                break
+        own = firsts[np.searchsorted(firsts, at) : np.searchsorted(firsts, stop)] - at
+        found, said = _hashed_stretch(data[at:stop], own)
+        places.append(found + at)
+        hashes.append(said)
+        at = stop
+    words = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
+    first = np.searchsorted(np.concatenate([np.zeros(0, dtype=np.int64), *places]), offsets)
+    begins = first + np.arange(first.size)
+    tokens = np.full(words.size + len(column), END, dtype=np.uint64)
+    ends = np.ones(tokens.size, dtype=bool)
+    ends[begins[1:] - 1] = False
+    tokens[ends] = words
+    return tokens, begins
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
 
+def _tallied(parts: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = np.concatenate(parts), np.concatenate(times)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if first.size else n[:0]
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words after lower-casing A-Z, then the end (an empty word)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    words.append(b"")
-    return words
+
+def _counts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and how often each occurs."""
+    hashes = np.sort(hashes)
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if hashes.size else np.zeros(0, dtype=np.int64)
+    return hashes[first], np.diff(np.append(first, hashes.size))
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(``word``, ``n``) over all of ``docs``; the end of a text is the empty word.
+    """(``word``, ``n``): how often the token with each hash occurs in ``docs``.
 
     Summed within each task first, so a frequent word costs a task a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
-
+        keys, times, held, least = [], [], 0, COUNTED
         for batch in slices(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                held.update(tokens_of(t))
-            if len(held) > COUNTED:
-                yield flush()
-        yield flush()
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            own, n = _counts(word_hashes(batch.column("text"))[0])
+            keys.append(own)
+            times.append(n)
+            held += own.size
+            if held > least:
+                merged, sums = _tallied(keys, times)
+                keys, times, held = [merged], [sums], merged.size
+                least = max(COUNTED, 2 * held)
+                if held > COUNTED:
+                    yield pa.RecordBatch.from_arrays([_signed(merged), pa.array(sums)], names=["word", "n"])
+                    keys, times, held, least = [], [], 0, COUNTED
+        if keys:
+            merged, sums = _tallied(keys, times)
+            yield pa.RecordBatch.from_arrays([_signed(merged), pa.array(sums)], names=["word", "n"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(released(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """The words that every task knows, and the corpus totals."""
+    """The words that every task knows, the tree over them, and the corpus totals."""
 
-    def __init__(self, held: list[tuple[str, int]], tokens: int, distinct: int):
+    def __init__(self, held: np.ndarray, n: np.ndarray, tokens: int, distinct: int):
+        """``held``: hashes of the held words, the most frequent first, and their counts."""
         self.tokens, self.distinct = tokens, distinct
-        words = [w.encode() for w, _ in held]
-        self.place = {w: k for k, w in enumerate(words)}
-        self.log_table = np.log10(np.array([n for _, n in held] or [1], dtype=np.float64) + SMOOTH)
-        self.symbol_table = np.arange(max(1, len(words)), dtype=np.int64)
-        mass = [n + SMOOTH for _, n in held]
         self.total = tokens + SMOOTH * (distinct + 1)
-        self.rare = self.total - sum(mass)
-        self.leaves = len(words) + 1  # the last is that of all other words
-        self.bits = max(LEAST_BITS, (WEIGHTS * self.leaves - 1).bit_length())
-        self._grow(np.array([*mass, max(self.rare, 1e-12)]))
+        mass = n + SMOOTH
+        self.rare = self.total - float(mass.sum())
+        self.log_table = np.log10(mass)
+        self.words = held.size  # number of the leaf of all other words
+        order = np.argsort(held)
+        self.keys = np.append(held[order], np.uint64(0))
+        self.place = np.append(order, self.words).astype(np.int32)
+        self.shift = np.uint64(64 - max(1, int(held.size).bit_length() + 1))
+        self.first = np.searchsorted(self.keys[:-1], np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)[:-1] << self.shift).astype(np.int32)
+        self.bits = max(LEAST_BITS, (held.size // SHARED).bit_length())
+        self._grow(np.append(mass, max(self.rare, 1e-12)))
 
     def _grow(self, mass: np.ndarray) -> None:
-        """The tree: of each leaf and inner node its parent's place (-1 for the root) and side, and
-        of each inner node the log odds of its second side."""
-        n = mass.size
-        weight = [*mass.tolist(), *[0.0] * (n - 1)]
-        leaves, parent, side, odds = iter(np.argsort(mass, kind="stable").tolist()), [-1] * len(weight), [0] * len(weight), [0.0] * (n - 1)
+        """The tree: of each leaf the classes on its way and the branch taken in each, and of
+        each class the log masses of its branches."""
+        n, fan = mass.size, FAN
+        classes = max(1, -(-(n - 1) // (fan - 1)))
+        weight = np.concatenate([mass, np.zeros(classes)]).tolist()
+        parent, branch = [-1] * len(weight), [0] * len(weight)
+        prior = np.full((classes, WIDE), -np.inf, dtype=np.float32)
+        leaves = iter(np.argsort(mass, kind="stable").tolist())
         leaf, inner = next(leaves), n
-        for made in range(n, len(weight)):
-            for k in (0, 1):
-                if leaf is not None and (inner == made or weight[leaf] <= weight[inner]):
+        take = (n - 2) % (fan - 1) + 2 if n > 1 else 1  # the first class has what is over, so that all others are full
+        for made in range(classes):
+            own, total = [], 0.0
+            for _ in range(take):
+                if leaf is not None and (inner == n + made or weight[leaf] <= weight[inner]):
                     least, leaf = leaf, next(leaves, None)
                 else:
                     least, inner = inner, inner + 1
-                parent[least], side[least] = made - n, k
-                odds[made - n] = math.log(weight[least]) - odds[made - n]
-                weight[made] += weight[least]
-        self.parent, self.side, self.odds = np.array(parent, dtype=np.int32), np.array(side, dtype=np.int8), np.array(odds, dtype=np.float32)
-
-    def ways(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All choices on the tokens' ways: the token's index, the inner node, and the side taken."""
-        at, who = np.minimum(flat, self.leaves - 1), np.arange(flat.size)
-        found = []
-        while True:
-            up = self.parent[at]
-            go = np.flatnonzero(up >= 0)
-            if not go.size:
-                break
-            who, up, taken = who[go], up[go], self.side[at[go]]
-            found.append((who, up, taken))
-            at = up + self.leaves
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int8)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    @staticmethod
-    def tail(word: bytes) -> int:
-        """Symbol of a word that isn't held: a hash of its last two bytes."""
-        return FREQUENT + zlib.crc32(word[-2:]) % TAILS
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Places among the held words, -1 for others."""
-        get = self.place.get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
-
-    def symbols(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        out = self.symbol_table[places]
-        for k in np.flatnonzero(places < 0).tolist():
-            out[k] = self.tail(words[k])
+                parent[least], branch[least] = made, len(own)
+                own.append(weight[least])
+                total += weight[least]
+            weight[n + made] = total
+            prior[made, : len(own)] = np.log(np.array(own) / total)
+            take = fan
+        self.prior = prior
+        up, side, at, way = np.array(parent), np.array(branch), np.arange(n), []
+        while (at >= 0).any():
+            node = np.where(at >= 0, up[at], -1)
+            way.append((node, np.where(node >= 0, side[at], 0)))
+            at = np.where(node >= 0, node + n, -1)
+        nodes = np.stack([w[0] for w in way], axis=1)
+        known = nodes >= 0
+        self.length = known.sum(axis=1).astype(np.int32)
+        self.begin = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.way = (nodes[known] * WIDE + np.stack([w[1] for w in way], axis=1)[known]).astype(np.int32)
+        self.node_hash = (_mixed(np.arange(1, classes + 1, dtype=np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Each token's leaf; that of all other words is the last."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        out = np.full(hashes.size, self.words, dtype=np.int32)
+        left = np.arange(hashes.size)
+        while left.size:
+            found = self.keys[at]
+            same = found == hashes[left]
+            out[left[same]] = self.place[at[same]]
+            go = found < hashes[left]
+            go &= at < self.words
+            left, at = left[go], at[go] + 1
         return out
 
 
-def context_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (symbols) of the texts in one array, and the (3 x tokens) numbers of their features."""
-    flat = np.concatenate(texts)
-    lengths = np.array([t.size for t in texts])
-    first = np.cumsum(lengths) - lengths
-    one, two = np.roll(flat, 1), np.roll(flat, 2)
-    one[first] = START
-    two[first] = START
-    two[first[lengths > 1] + 1] = START
-    mixed = (one * 0x9E3779B1 + two * 0x85EBCA6B) % 0xFFFFFFFB
-    return flat, np.stack([one, SYMBOLS + two, 2 * SYMBOLS + mixed])
+def features(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token the hashes of its context: the word before, both before, and the skip."""
+    one, two = np.empty_like(tokens), np.empty_like(tokens)
+    one[1:], two[2:] = tokens[:-1], tokens[:-2]
+    first = begins[:-1]
+    one[first], two[first] = END, END  # the end of a text stands for what is before one
+    second = first[np.diff(begins) > 1] + 1
+    two[second] = END
+    high = np.uint64(32)
+    pair = (one + np.uint64(0x632BE59BD9B4E019)) * _MIX ^ two
+    pair *= _GOLD
+    return (one >> high).astype(np.uint32), (pair >> high).astype(np.uint32), (two * _MIX >> high).astype(np.uint32)
 
 
 class Model:
-    """Weights: one for each hash of a feature and an inner node of the tree."""
+    """Rows of weights, one for each hash of a feature and a class.
+
+    A row's last two columns hold the sum of its squared gradients and how many
+    tokens it was trained on, so that all of a row lies in one cache line.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray | None = None):
         self.v = vocabulary
-        self.flat = np.zeros(1 << vocabulary.bits, dtype=np.float32) if flat is None else flat
-        self.sums = None
-
-    def predict(self, flat: np.ndarray, rows: np.ndarray):
-        """All choices of the tokens: the token's index, the weights' places by feature, and the
-        logit of the side not taken."""
-        who, node, side = self.v.ways(flat)
-        features = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        features ^= features >> np.uint64(29)
-        own = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        z, places = self.v.odds[node], []
-        for one in features:
-            h = one[who]
-            h += own
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0x94D049BB133111EB)
-            h >>= np.uint64(64 - self.v.bits)
-            places.append(h.astype(np.int64))
-            z += self.flat[places[-1]]
-        return who, side, places, np.where(side == 1, -z, z)
-
-    def log10(self, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        self.weights = np.zeros((1 << vocabulary.bits, WIDE), dtype=np.float32) if weights is None else weights
+
+    def _predict(self, leaves: np.ndarray, context: tuple[np.ndarray, ...]):
+        """All classes on the tokens' ways: the token's index, where the branch taken lies, by feature
+        the numbers of the rows and the rows, exp of all branches' scores, and their sums."""
+        v = self.v
+        length = v.length[leaves]
+        ends = np.cumsum(length, dtype=np.int32)
+        who = np.repeat(np.arange(leaves.size, dtype=np.int32), length)
+        way = v.way[np.arange(who.size, dtype=np.int32) + np.repeat(v.begin[leaves] - (ends - length), length)]
+        node = way >> np.int32(4)
+        taken = (way & np.int32(WIDE - 1)) + np.arange(0, way.size * WIDE, WIDE, dtype=np.int32)
+        own, shift = v.node_hash[node], np.uint32(32 - v.bits)
+        z, rows, held = v.prior.take(node, axis=0), [], []
+        for one in context:
+            row = one[who]
+            row ^= own
+            row *= np.uint32(0x9E3779B1)
+            row ^= row >> np.uint32(15)
+            row *= np.uint32(0x85EBCA77)
+            row >>= shift
+            rows.append(row.view(np.int32))
+            held.append(self.weights.take(rows[-1], axis=0))
+            z += held[-1]
+        np.exp(z, out=z)
+        return who, taken, rows, held, z, z @ np.ones(WIDE, dtype=np.float32)
+
+    def log10(self, leaves: np.ndarray, context: tuple[np.ndarray, ...]) -> np.ndarray:
         """Of each token, the leaf it comes to."""
-        who, _, _, other = self.predict(flat, rows)
-        return np.bincount(who, weights=np.logaddexp(np.float32(0), other), minlength=flat.size) / -math.log(10)
-
-    def update(self, flat: np.ndarray, rows: np.ndarray, seen: Model) -> None:
-        """One gradient step on a batch; ``seen`` has the sums of squared gradients."""
-        _, side, places, other = self.predict(flat, rows)
-        if self.sums is None:
-            self.sums = np.zeros_like(self.flat)
-        miss = np.float32(1 / 32) / (1 + np.exp(-np.clip(other, -60, 60)))
-        g = np.where(side == 1, -miss, miss).astype(np.float32)
-        for at in places:
-            np.add.at(self.sums, at, g)
-        for at in places:  # a place that occurs again gets the same values again
-            total = self.sums[at]
-            squares = seen.flat[at] + total * total
-            new = self.flat[at] - RATE * total / np.sqrt(squares + np.float32(1e-4))
-            seen.flat[at], self.flat[at] = squares, new
-            self.sums[at] = 0
+        who, taken, _, _, z, total = self._predict(leaves, context)
+        return np.bincount(who, weights=np.log10(np.maximum(z.ravel()[taken], np.float32(1e-30)) / total), minlength=leaves.size)
+
+    def update(self, leaves: np.ndarray, context: tuple[np.ndarray, ...]) -> None:
+        """One gradient step on a batch, a row's step being scaled by all its gradients so far."""
+        _, taken, rows, held, g, total = self._predict(leaves, context)
+        g *= (np.float32(1) / total)[:, None]
+        g.ravel()[taken] -= np.float32(1)
+        places = np.arange(len(g), dtype=np.uint64)
+        for row, before in zip(rows, held, strict=True):
+            keys = row.astype(np.uint64)
+            keys <<= np.uint64(32)
+            keys |= places
+            keys.sort()
+            order, row = keys.astype(np.uint32).view(np.int32), (keys >> np.uint64(32)).astype(np.int32)
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            times = np.diff(np.append(first, row.size))
+            change = g.take(order[first], axis=0)
+            for k in range(1, FEW):
+                more = np.flatnonzero((times > k) & (times <= FEW))
+                change[more] += g.take(order[first[more] + k], axis=0)
+            many = times > FEW
+            if many.any():
+                change[many] = np.add.reduceat(g.take(order[np.repeat(many, times)], axis=0), np.cumsum(times[many]) - times[many], axis=0)
+            new = before.take(order[first], axis=0)
+            squares = new[:, FAN] + np.einsum("ij,ij->i", change, change)
+            change *= (np.float32(-RATE) / np.sqrt(squares + np.float32(1e-2)))[:, None]
+            new += change
+            new[:, FAN] = squares
+            new[:, FAN + 1] += times
+            self.weights[row[first]] = new
 
 
 def _summed(parts: DataFrame, key: str) -> DataFrame:
-    """Sums of binary float32 vectors by key, one running sum at a time."""
+    """Sums of float32 vectors (``data``) by key, one running sum at a time, in the order of ``source``."""
+    schema = f"{key} long, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=[key, "data"])
+
         now, total = None, None
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = np.frombuffer(data, dtype=np.float32)
-                if k == now:
+            for k, data in zip(batch.column(0), batch.column(1), strict=True):
+                one = np.frombuffer(data.as_buffer(), dtype=np.float32)
+                if k.as_py() == now:
                     total += one
                     continue
                 if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=[key, "data"])
-                now, total = k, one.copy()
+                    yield out()
+                now, total = k.as_py(), one.astype(np.float64)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=[key, "data"])
+            yield out()
 
-    return parts.select(key, "data").repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, data binary")
+    return parts.repartition(key).sortWithinPartitions(key, "source").select(key, "data").mapInArrow(released(run), schema)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """The weights after ``rounds`` passes over all of ``docs``.
 
-    What a task passes on is of the model's size (fixed); the sum is made in two
-    steps, so no task meets more than a sixteenth of the tasks' parts.
+    What a task passes on is of the model's size (fixed by the vocabulary's bound).
+    The change of a row is the mean over the tasks that met it, weighted by their
+    tokens; it is summed in two steps, so no task meets more than a sixteenth of
+    the tasks' parts, and in a fixed order.
     """
-    flat = Model(vocabulary).flat
+    weights = Model(vocabulary).weights
     for _ in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            model, seen = Model(vocabulary, start.copy()), Model(vocabulary)
-            done, held, size = 0, [], 0
+        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            model = Model(vocabulary, start.copy())
             for batch in slices(batches, "text"):
-                for t in batch.column("text").to_pylist():
-                    words = tokens_of(t)
-                    symbols = vocabulary.symbols(words, vocabulary.places(words))
-                    for at in range(0, symbols.size, BATCH_TOKENS):
-                        held.append(symbols[at : at + BATCH_TOKENS])
-                        size += held[-1].size
-                        if size >= BATCH_TOKENS:
-                            model.update(*context_rows(held), seen)
-                            done, held, size = done + size, [], 0
-            if held:
-                model.update(*context_rows(held), seen)
-                done += size
-            if not done:
+                tokens, begins = word_hashes(batch.column("text"))
+                leaves, context = vocabulary.places(tokens), features(tokens, begins)
+                for at in range(0, tokens.size, BATCH_TOKENS):
+                    model.update(leaves[at : at + BATCH_TOKENS], tuple(x[at : at + BATCH_TOKENS] for x in context))
+            change = model.weights - start
+            if not change[:, FAN + 1].any():
                 return
-            change = np.append((model.flat - start) * np.float32(done / 1e6), np.float32(done / 1e6))
-            part = TaskContext.get().partitionId() % PARTS
-            for at in range(0, change.size, BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK * PARTS + part], pa.int64()), pa.array([change[at : at + BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["part", "data"])
-
-        parts = _summed(docs.select(F.col(text).alias("text")).mapInArrow(run, "part long, data binary"), "part")
-        blocks = _summed(parts.withColumn("block", F.floor(F.col("part") / PARTS)), "block")
+            change[:, :FAN] *= change[:, FAN + 1 :]
+            source = TaskContext.get().partitionId()
+            for at in range(0, len(change), BLOCK):
+                block = at // BLOCK * PARTS + source % PARTS
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([source], pa.int64()), pa.array([change[at : at + BLOCK].tobytes()], pa.binary())], names=["part", "source", "data"])
+
+        parts = _summed(docs.select(F.col(text).alias("text")).mapInArrow(released(run), "part long, source long, data binary"), "part")
+        blocks = _summed(parts.select(F.floor(F.col("part") / PARTS).alias("block"), F.col("part").alias("source"), "data"), "block")
         found = sorted(blocks.collect(), key=lambda r: r["block"])
         if not found:
             break
-        change = np.concatenate([np.frombuffer(bytes(r["data"]), dtype=np.float32) for r in found])
-        flat = flat + change[:-1] / change[-1]
-    return flat
-
-
-def _least_count(counts: DataFrame, most: int = HELD) -> int:
-    """The least count that at most ``most`` words reach, from the numbers of words by count."""
-    tally = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words"))
-    words = 0
-    least = 1_000_001
-    for row in sorted(tally.collect(), key=lambda r: -r["n"]):
-        words += row["words"]
-        if words > most:
-            break
-        least = row["n"]
-    return least
+        change = np.concatenate([np.frombuffer(bytes(r["data"]), dtype=np.float32) for r in found]).reshape(-1, WIDE).copy()
+        change[:, :FAN] /= np.maximum(change[:, FAN + 1 :], 1)
+        weights = weights + change
+    return weights
+
+
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach, from the numbers of words by ranges of counts.
+
+    A range is divided until it is a single count, so the driver gets 1024 numbers at a time."""
+    low, high, above = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0
+    while low < high:
+        width = -(-(high - low) // 1024)
+        own = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.floor((F.col("n") - low) / width).alias("range")).agg(F.count("*").alias("words"))
+        least = high
+        for row in sorted(own.collect(), key=lambda r: -r["range"]):
+            if above + row["words"] > most:
+                break
+            above, least = above + row["words"], low + row["range"] * width
+        else:
+            return low
+        if width == 1:
+            return least
+        low, high = low + row["range"] * width, min(high, low + (row["range"] + 1) * width)
+    return low
 
 
-def learn(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Vocabulary, np.ndarray]:
+def learn(docs: DataFrame, text: str = "text", held: int = HELD) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """Counts of all tokens, the vocabulary and the trained weights."""
     counts = materialise(token_counts(docs, text), "counts")
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-    held = sorted(((r["word"], r["n"]) for r in counts.where(F.col("n") >= _least_count(counts)).collect()), key=lambda x: (-x[1], x[0]))
-    vocabulary = Vocabulary(held, total["tokens"] or 0, total["distinct"])
+    found = counts.where(F.col("n") >= _least_count(counts, held)).toArrow()
+    words, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.lexsort((words, -n))
+    vocabulary = Vocabulary(words[order], n[order], total["tokens"] or 0, total["distinct"])
     return counts, vocabulary, train(docs, vocabulary, text)
 
 
-def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, text: str = "text") -> DataFrame:
+#: Columns that a scored table has besides the documents' own.
+_SCORED = "__lm_tokens long, __lm_held long, __lm_base double, __lm_model double, __lm_row long, __lm_words array<struct<word:long,times:long>>"
+RESULTS = ("n_tokens", "n_known", "base_score", "score")
+
+
+def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``base_score`` (smoothed
     unigrams) and ``score`` (the model), both log10.
 
     A null text is empty and has one token, its end. Repeated rows each give a
-    row. Words outside the held vocabulary, each of which has at most a
-    ``HELD``-th of all tokens, meet their counts in a join of (row, word, times);
-    the sums return by row, so no text is shuffled.
+    row. Columns of ``docs`` with the names of the results are replaced, all
+    others pass through; names that begin with ``__lm_`` are reserved. Words
+    outside the held vocabulary, each of which has at most a ``HELD``-th of all
+    tokens, meet their counts in a join of (row, word, times); the sums return by
+    row, so no text is shuffled.
     """
-    kept = docs.select(*(c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")), F.col(text).alias("__text"))
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text and c not in RESULTS), F.col(text).alias("__lm_text"))
     own = kept.columns[:-1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    schema = f"{fields}, n_tokens long, n_held long, base double, model double, __row long, __words array<struct<word:string,times:int>>"
-    words_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
+    schema = type(kept.schema)([*kept.schema.fields[:-1], *docs.sparkSession.createDataFrame([], _SCORED).schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rare = Model(vocabulary, flat), math.log10(vocabulary.rare) if vocabulary.rare > 0 else 0.0
-        row = TaskContext.get().partitionId() << 40
-
-        def probabilities(symbols: list[np.ndarray]) -> list[float]:
-            """Of each text the sum of what the model gives its classes and frequent words, in batches of many texts."""
-            sums, held, size = np.zeros(len(symbols)), [], 0
-            for k, one in enumerate(symbols):
-                for at in range(0, one.size, BATCH_TOKENS):
-                    held.append((k, min(at, 2), one[max(0, at - 2) : at + BATCH_TOKENS]))  # a long text's parts see what stands before them
-                    size += held[-1][2].size
-                if size >= BATCH_TOKENS or k == len(symbols) - 1:
-                    each = model.log10(*context_rows([h[2] for h in held]))
-                    ends = np.cumsum([h[2].size for h in held])
-                    for (text_no, skipped, part), end in zip(held, ends.tolist(), strict=True):
-                        sums[text_no] += each[end - part.size + skipped : end].sum(dtype=np.float64)
-                    held, size = [], 0
-            return sums.tolist()
-
-        for batch in slices(batches, "__text", 1 << 20):
-            texts = [tokens_of(t) for t in batch.column("__text").to_pylist()]
-            found = [vocabulary.places(words) for words in texts]
-            symbols = [vocabulary.symbols(words, at) for words, at in zip(texts, found, strict=True)]
-            n, known, base, sums, left = [], [], [], [], []
-            for words, at, own_symbols, total in zip(texts, found, symbols, probabilities(symbols), strict=True):
-                inside = at >= 0
-                logs = vocabulary.log_table[at[inside]]
-                common = own_symbols < FREQUENT
-                held_sum = float(logs.sum())
-                n.append(len(words))
-                known.append(int(inside.sum()))
-                base.append(held_sum)
-                sums.append(total + float(logs[~common[inside]].sum()) - int((~common).sum()) * rare)
-                others = Counter([words[k] for k in np.flatnonzero(~inside).tolist()])
-                left.append([{"word": w.decode("utf-8", "replace"), "times": k} for w, k in others.items()])
-            places = pa.array(np.arange(row, row + batch.num_rows))
+        model, row = Model(vocabulary, weights), TaskContext.get().partitionId() << 40
+        logs = np.append(vocabulary.log_table, 0.0)
+        rare = math.log10(vocabulary.rare) if vocabulary.rare > 0 else 0.0
+        for batch in slices(batches, "__lm_text"):
+            if not batch.num_rows:
+                continue
+            tokens, begins = word_hashes(batch.column("__lm_text"))
+            leaves, context, first = vocabulary.places(tokens), features(tokens, begins), begins[:-1]
+            each = [model.log10(leaves[at : at + BATCH_TOKENS], tuple(x[at : at + BATCH_TOKENS] for x in context)) for at in range(0, tokens.size, BATCH_TOKENS)]
+            other = leaves == vocabulary.words
+            sums = [np.add.reduceat(x, first) for x in (logs[leaves], np.concatenate(each) - np.where(other, rare, 0.0))]
+            at = np.flatnonzero(other)
+            whose, words = np.searchsorted(begins, at, side="right") - 1, tokens[at]
+            order = np.lexsort((words, whose))
+            whose, words = whose[order], words[order]
+            new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (whose[1:] != whose[:-1]))) if at.size else at
+            pairs = pa.StructArray.from_arrays([_signed(words[new]), pa.array(np.diff(np.append(new, at.size)), pa.int64())], names=["word", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose[new], np.arange(batch.num_rows + 1)).astype(np.int32)), pairs)
+            held = np.add.reduceat((~other).astype(np.int64), first)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(begins)), pa.array(held), *map(pa.array, sums), pa.array(np.arange(row, row + batch.num_rows)), lists], names=schema.names)
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()), places, pa.array(left, words_type)], names=[*own, "n_tokens", "n_held", "base", "model", "__row", "__words"])
-
-    scored = materialise(kept.mapInArrow(run, schema), "scored")
-    rare = scored.select("__row", F.inline("__words")).join(counts, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    more = rare.groupBy("__row").agg(F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("found"))
-    added = F.coalesce("more", F.lit(0.0))
-    return scored.drop("__words").join(more, "__row", "left").select(
-        *own,
-        "n_tokens",
-        (F.col("n_held") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
-        (F.col("base") + added - F.col("n_tokens") * math.log10(vocabulary.total)).alias("base_score"),
-        (F.col("model") + added).alias("score"),
+
+    scored = materialise(kept.mapInArrow(released(run), schema), "scored")
+    rare = scored.select("__lm_row", F.inline("__lm_words")).join(counts, "word")
+    more = rare.groupBy("__lm_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + SMOOTH)).alias("__lm_more"), F.sum("times").alias("__lm_found"))
+    unseen = (F.col("__lm_tokens") - F.col("__lm_held") - F.coalesce("__lm_found", F.lit(0))) * math.log10(SMOOTH)
+    added = F.coalesce("__lm_more", F.lit(0.0)) + unseen
+    return scored.drop("__lm_words").join(more, "__lm_row", "left").select(
+        *(F.col(f"`{c}`") for c in own),
+        F.col("__lm_tokens").alias("n_tokens"),
+        (F.col("__lm_held") + F.coalesce("__lm_found", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("__lm_base") + added - F.col("__lm_tokens") * math.log10(vocabulary.total)).alias("base_score"),
+        (F.col("__lm_model") + added).alias("score"),
     )
 
 
-def held_out_fold(key: str = "doc_id"):
+def held_out_fold(key: str = "doc_id") -> Column:
     """Column: whether a document is kept from learning."""
     return F.coalesce(fold(key, 10) == 0, F.lit(False))
