@@ -71,13 +71,12 @@ def label_hits(text: Column, entities: Entities) -> dict[str, Column]:
 
 def pii_labels(text: Column, entities: Entities = Entities()) -> Column:
     """The labels found, in their fixed order."""
-    found = [F.when(hit, F.lit(name)) for name, hit in label_hits(text, entities).items()]
-    return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    return listed(label_hits(text, entities))
 
 
-def categories(text: Column, entities: Entities = Entities(), words: Iterable[str] = ()) -> dict[str, Column]:
-    """For each input category whether it is hit."""
-    labels = label_hits(text, entities)
+def categories(text: Column, entities: Entities = Entities(), words: Iterable[str] = (), labels: dict[str, Column] | None = None) -> dict[str, Column]:
+    """For each input category whether it is hit; ``labels``, if given, are the label hits."""
+    labels = label_hits(text, entities) if labels is None else labels
     personal = F.lit(False)
     for hit in labels.values():
         personal = personal | hit
@@ -96,10 +95,34 @@ def output_hit(text: Column) -> Column:
     return matches(text, P.OUTPUT_REDACTION)
 
 
+def labelled(df: DataFrame, text: Column, entities: Entities = Entities()) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with a boolean column for each label, and these columns by label; their names begin
+    with ``__label_``. What is made of them doesn't test the patterns again."""
+    own = {name: (f"__label_{name.replace('.', '_')}", hit) for name, hit in label_hits(text, entities).items()}
+    return df.withColumns(dict(own.values())), {name: F.col(column) for name, (column, _) in own.items()}
+
+
+def listed(labels: dict[str, Column]) -> Column:
+    """The labels found, in their fixed order."""
+    return F.filter(F.array(*(F.when(hit, F.lit(name)) for name, hit in labels.items())), lambda x: x.isNotNull()) if labels else F.array().cast("array<string>")
+
+
 def with_categories(df: DataFrame, text: str = "text", entities: Entities = Entities(), words: Iterable[str] = ()) -> DataFrame:
-    """``df`` with ``labels`` and a boolean ``hit_<category>`` for each category."""
-    found = categories(F.col(text), entities, words)
-    return df.withColumns({"labels": pii_labels(F.col(text), entities)} | {f"hit_{name}": hit for name, hit in found.items()})
+    """``df`` with ``labels`` and a boolean ``hit_<category>`` for each category.
+
+    Columns of ``df`` with these names are replaced; names that begin with
+    ``__label_`` are reserved.
+    """
+    out, labels = labelled(df, F.col(text), entities)
+    found = categories(F.col(text), entities, words, labels)
+    out = out.withColumns({"labels": listed(labels)} | {f"hit_{name}": hit for name, hit in found.items()})
+    return out.drop(*(c for c in out.columns if c.startswith("__label_")))
+
+
+def with_signals(df: DataFrame, text: str = "text", entities: Entities = Entities()) -> DataFrame:
+    """``df`` with ``signals``, those of the regex detectors on the text."""
+    out, labels = labelled(df, F.col(text), entities)
+    return out.withColumn("signals", regex_signals(listed(labels), categories(F.col(text), entities, (), labels))).drop(*(c for c in out.columns if c.startswith("__label_")))
 
 
 def signal(category: Column | str, source: Column | str, confidence: Column, evidence: Column | str | None = None) -> Column:

@@ -127,9 +127,10 @@ def before_model(df: DataFrame, security: Security, legacy: Legacy, text: str =
     text is an empty one.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    hits = detect.categories(own, legacy.entities, legacy.words)
+    df, labels = detect.labelled(df, own, legacy.entities)
+    hits = detect.categories(own, legacy.entities, legacy.words, labels)
     names = {name: f"__{name}" for name in hits}
-    df = df.withColumns({names[name]: hit for name, hit in hits.items()} | {"__labels": detect.pii_labels(own, legacy.entities)})
+    df = df.withColumns({names[name]: hit for name, hit in hits.items()} | {"__labels": detect.listed(labels)})
     flags = {name: F.col(column) for name, column in names.items()}
     content, reasons, decisions = own, [], F.array().cast(f"array<{_HIT}>")
     if security.enabled:
@@ -168,7 +169,7 @@ def before_model(df: DataFrame, security: Security, legacy: Legacy, text: str =
             content = F.when(flags[category], redact.by_category(content, category, legacy.entities, legacy.words)).otherwise(content)
     reason = F.coalesce(*reasons, F.lit(None).cast("string"))
     out = df.withColumns({"decisions": keep_first(decisions), "block_reason": reason, "content": content})
-    return out.withColumn("blocked", F.col("block_reason").isNotNull()).drop(*names.values(), "__labels", "__signals", "__hits", "__content_pii", "__content_secrets")
+    return out.withColumn("blocked", F.col("block_reason").isNotNull()).drop(*names.values(), *(c for c in df.columns if c.startswith("__label")), "__signals", "__hits", "__content_pii", "__content_secrets")
 
 
 def after_model(df: DataFrame, text: str = "text") -> DataFrame:

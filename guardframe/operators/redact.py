@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from guardframe.functions import patterns as P
 from guardframe.functions.dialect import java_pattern
 from guardframe.functions.strings import matches, replaced
-from guardframe.operators.detect import Entities, banned_terms
+from guardframe.operators.detect import Entities, banned_terms, label_hits
 
 #: Redaction of personal data, in order: pattern, placeholder, toggle. The order
 #: matters: a phone number swallows a card number, and a placeholder can look like a token.
@@ -24,11 +24,17 @@ STEPS = (
 )
 
 
-def pii(text: Column, entities: Entities = Entities()) -> Column:
+def pii(text: Column, entities: Entities = Entities(), found: Column | None = None) -> Column:
+    """Personal data replaced. ``found``, if known, says whether there is any; texts without are left as they are."""
+    out = text
     for pattern, placeholder, toggle in STEPS:
         if getattr(entities, toggle):
-            text = replaced(text, pattern, placeholder)
-    return text
+            out = replaced(out, pattern, placeholder)
+    if found is None:
+        found = F.lit(False)
+        for hit in label_hits(text, entities).values():
+            found = found | hit
+    return F.when(found, out).otherwise(text)
 
 
 def secrets(text: Column, entities: Entities = Entities()) -> Column:
@@ -42,16 +48,16 @@ def banned(text: Column, words: Iterable[str]) -> Column:
 
 
 def by_category(text: Column, category: str, entities: Entities = Entities(), words: Iterable[str] = ()) -> Column:
-    """Redaction for a category; categories without one leave the text alone."""
+    """Redaction for a category that was hit; categories without one leave the text alone."""
     if category == "banned_words":
         return banned(text, words)
     if category == "pii":
-        return pii(text, entities)
+        return pii(text, entities, found=F.lit(True))
     return secrets(text, entities) if category == "secrets" else text
 
 
 def output(text: Column) -> Column:
-    return replaced(text, P.OUTPUT_REDACTION, "[REDACTED]")
+    return F.when(matches(text, P.OUTPUT_REDACTION), replaced(text, P.OUTPUT_REDACTION, "[REDACTED]")).otherwise(text)
 
 
 def preview(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from guardframe.functions import patterns
+from guardframe.functions.dialect import java_pattern
 from guardframe.plans import events, queries  # noqa: F401  registering
 from guardframe.plans.registry import ORACLES, QUERIES
 from helpers import bag
@@ -22,11 +24,19 @@ def test_query_runs(spark, sf_dir, name):
 
 
 def test_spans_of_all_users_are_merged(spark, duck, tmp_path):
-    """A hot user, and users beyond those of span_merge."""
+    """A hot user, and many others."""
     path = str(tmp_path / "events.parquet")
     duck.execute(f"COPY (SELECT i AS event_id, CASE WHEN i % 2 = 0 THEN 7 ELSE i % 90 END AS user_id, ['view', 'buy'][1 + i % 2] AS event_type, CAST(i * 37 % 1009 AS DOUBLE) / 3 AS value FROM range(4000) AS t(i)) TO '{path}' (FORMAT parquet)")
-    ours = QUERIES["span_merge_all"](spark, str(tmp_path)).toPandas()
-    sql = ORACLES["span_merge_all"].replace("FROM events", f"FROM '{path}'")
+    ours = QUERIES["span_merge"](spark, str(tmp_path)).toPandas()
+    sql = ORACLES["span_merge"].replace("FROM events", f"FROM '{path}'")
     assert bag(ours) == bag(duck.execute(sql).df()) and ours["user_id"].max() > 40
-    few = QUERIES["span_merge"](spark, str(tmp_path)).toPandas()
-    assert bag(few) == bag(ours[ours["user_id"] < 40])
+
+
+@pytest.mark.parametrize("name", ["scan_documents", "signals_long", "policy_regex", "before_model"])
+def test_each_pattern_is_tested_once_a_row(spark, sf_dir, name):
+    """The optimizer must not copy the detection into what refers to it."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in ("EMAIL", "PHONE", "TOKEN", "SQL_INJECTION", "COMMAND_INJECTION", "PROMPT_INJECTION", "JAILBREAK"):
+        java = java_pattern(getattr(patterns, pattern))
+        assert plan.count(f"RLIKE {java}") + plan.count(f"rlike({java}") <= 1, pattern
+    assert plan.count("RLIKE") <= 14  # those with word boundaries have two forms
