@@ -23,14 +23,16 @@ from guardframe.llm.common import fold, released, slices
 
 #: Length of a profile, and of a document's list.
 PROFILE = 400
+#: What stands for a word's edge, which is no letter's code.
+EDGE = 1
 #: What is predicted for a text without letters.
 UNKNOWN = "und"
 
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point the code point of its small letter, 0 for what isn't a letter."""
-    out = np.zeros(sys.maxunicode + 1, dtype=np.uint64)
+    """For each code point the code point of its small letter, EDGE for what isn't a letter."""
+    out = np.full(sys.maxunicode + 1, EDGE, dtype=np.uint64)
     for i in range(sys.maxunicode + 1):
         c = chr(i)
         if c.isalpha():
@@ -40,17 +42,22 @@ def _letters() -> np.ndarray:
 
 
 def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as packed 21-bit letters, ascending, and their counts."""
+    """Distinct n-grams of a text as packed 21-bit letters, ascending, and their counts.
+
+    Runs of what isn't a letter are one edge. No letter has the code 0, so n-grams
+    of different lengths differ.
+    """
     code = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letters = _letters()[code]
-    letters = letters[(letters != 0) | np.append(True, letters[:-1] != 0)]  # one edge between words
-    edge = letters != 0
-    one = letters[edge]
+    inside = letters != EDGE
+    kept = inside | np.append(True, inside[:-1])  # one edge between words
+    letters, inside = letters[kept], inside[kept]
+    one = letters[inside]
     if not one.size:
         return one, np.zeros(0, dtype=np.int64)
     two = (letters[:-1] << np.uint64(21)) | letters[1:]
-    three = ((letters[:-2] << np.uint64(42)) | (two[1:]))[edge[1:-1]]
-    keys = np.concatenate([one, two[two != 0], three])
+    three = ((letters[:-2] << np.uint64(42)) | (two[1:]))[inside[1:-1]]
+    keys = np.concatenate([one, two, three])
     keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[first], np.diff(np.append(first, keys.size))
