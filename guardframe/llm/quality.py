@@ -1,9 +1,10 @@
 """Text quality by supervised subword embeddings.
 
-Every token gives hashed features (itself and its byte trigrams), and the
-document a few more for what repeats in it. Each feature has a learned vector;
-a document is the mean of its features' vectors, and a softmax layer on top
-gives the class. Vectors and layer are trained together by stochastic gradient
+Every token gives hashed features: itself, its byte trigrams, and, where it or
+its line has occurred in the text before, an n-gram of the order in which it
+recurs (doublings of the number of times, or right after itself). Each bucket has a learned vector; a
+document is the mean of its features' vectors, and a softmax layer on top gives
+the class. Vectors and layer are trained together by stochastic gradient
 descent in numpy.
 """
 
@@ -11,7 +12,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +29,54 @@ from guardframe.llm.labelled import sample
 BUCKETS, WIDTH = 1 << 17, 12
 #: Labelled documents taken of each class at most.
 SAMPLE = 1500
-#: Features of the document: one for each token that occurred before, and for each such line.
-AGAIN_TOKEN, AGAIN_LINE = 0, 1
-FIRST_HASHED = 2
+#: Doublings of the number of times up to which recurrences differ.
+RECURS = 16
 
 
 def token_features(token: str) -> list[int]:
-    data, room = f"<{token}>".encode("utf-8", "surrogatepass"), BUCKETS - FIRST_HASHED
-    crc = zlib.crc32
-    return [crc(data) % room + FIRST_HASHED, *(crc(data[i : i + 3]) % room + FIRST_HASHED for i in range(len(data) - 2))]
+    data, crc = f"<{token}>".encode("utf-8", "surrogatepass"), zlib.crc32
+    return [crc(data) % BUCKETS, *(crc(data[i : i + 3]) % BUCKETS for i in range(len(data) - 2))]
 
 
-def repeats(text: str, tokens: list[str]) -> tuple[int, int]:
-    """How many tokens, and how many non-blank lines, occurred before in the text."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    return len(tokens) - len(set(tokens)), len(lines) - len(set(lines))
+@cache
+def recurrence_features() -> dict[str, list[int]]:
+    """Buckets of what recurs: for tokens and lines, by doublings of the number of times."""
+    return {kind: [zlib.crc32(f"{kind} {k}".encode()) % BUCKETS for k in range(RECURS)] for kind in ("token", "line", "twice")}
+
+
+def recurrences(times: Iterable[int]) -> list[int]:
+    """How many occurrences are the second, the third or fourth, the fifth to eighth, and so on,
+    given how often each thing occurs."""
+    out: list[int] = []
+    spread = Counter(times)
+    spread.pop(1, None)
+    for n, things in spread.items():
+        k = 0
+        while n > 1 << k and k < RECURS:
+            if k == len(out):
+                out.append(0)
+            last = n if k == RECURS - 1 else min(n, 2 << k)
+            out[k] += (last - (1 << k)) * things
+            k += 1
+    return out
+
+
+def repeats(text: str, tokens: list[str], times: Counter[str]) -> list[tuple[int, int]]:
+    """Features of what recurs in a text, and how often each occurs."""
+    lines = Counter([x for x in text.split("\n") if x and not x.isspace()])
+    own = recurrence_features()
+    return [*zip(own["token"], recurrences(times.values())), *zip(own["line"], recurrences(lines.values())), (own["twice"][0], sum(map(eq, tokens, islice(tokens, 1, None))))]  # noqa: B905
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text, and the share of each."""
     tokens = (text or "").split()
-    many: Counter[int] = Counter()
-    for token, n in Counter(tokens).items():
+    times, many = Counter(tokens), Counter[int]()
+    for token, n in times.items():
         for f in token_features(token):
             many[f] += n
-    many[AGAIN_TOKEN], many[AGAIN_LINE] = repeats(text or "", tokens)
+    for f, n in repeats(text or "", tokens, times):
+        many[f] += n
     ids = np.array(sorted(f for f, n in many.items() if n), dtype=np.uint32)
     shares = np.array([many[f] for f in ids.tolist()], dtype=np.float32)
     return ids, shares / max(1.0, float(shares.sum()))
@@ -89,7 +116,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, shift: float
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on the bounded labelled sample; features are made on the executors."""
-    rows, shift = sample(docs, labels, label, SAMPLE)
+    rows, _, shift = sample(docs, labels, label, SAMPLE)
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("shares", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             found = [document_features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], names=schema.names)
 
-    found = sorted(rows.select(F.col(rows.columns[0]).cast("string").alias("key"), F.col("y").cast("int"), "text").mapInArrow(released(run), schema).collect(), key=lambda r: (r["key"], bytes(r["ids"])))
+    found = sorted(rows.select("key", "y", "text").mapInArrow(released(run), schema).collect(), key=lambda r: r["key"])
     return train([(np.frombuffer(bytes(r["ids"]), dtype=np.uint32), np.frombuffer(bytes(r["shares"]), dtype=np.float32)) for r in found], np.array([r["y"] for r in found], dtype=np.int64), shift)
 
 
@@ -121,11 +148,12 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         tokens = (text or "").split()
-        known, one = self.tokens, self._token
-        both = sum([known.get(t) or one(t) for t in tokens], 0j)
-        again, lines = repeats(text or "", tokens)
-        raw = both.real + again * self.parts[AGAIN_TOKEN] + lines * self.parts[AGAIN_LINE]
-        z = self.intercept + raw / max(1.0, both.imag + again + lines)
+        times = Counter(tokens)
+        known, one, parts = self.tokens, self._token, self.parts
+        both = sum([(known.get(t) or one(t)) * n for t, n in times.items()], 0j)
+        for f, n in repeats(text or "", tokens, times):
+            both += complex(parts[f], 1) * n
+        z = self.intercept + both.real / max(1.0, both.imag)
         return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
 
