@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +42,9 @@ MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset(("articlebody"
 #: What the name of the outermost marked element ends in; no tag or class holds a blank.
 MARK = " main"
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
+#: A tag ends at the first > outside quotes; a quote that nothing closes is a character like others.
+#: No part gives back what it took, so a page is read once.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: A template token is on this share of its layout's pages, and on so many pages, at least.
 SHARE, PAGES = 0.5, 3
@@ -50,6 +52,11 @@ SHARE, PAGES = 0.5, 3
 BROADCAST_HOSTS = 50_000
 #: (host, token) sums that a task holds before it passes them on.
 HELD = 200_000
+#: Levels of open elements; deeper ones stand beside each other, as in browsers.
+DEEPEST = 256
+#: Characters of an element's name in a path; longer ones are known by their hash.
+NAME = 200
+_PLAIN_NAME = str.maketrans(">=", "__")
 
 
 class Block:
@@ -57,7 +64,7 @@ class Block:
 
     __slots__ = ("aside", "main", "path", "text", "wraps")
 
-    def __init__(self, path: tuple[str, ...], aside: bool, main: bool, text: str, wraps: tuple[int, ...] = ()):
+    def __init__(self, path: str, aside: bool, main: bool, text: str, wraps: tuple[int, ...] = ()):
         self.path, self.aside, self.main, self.text, self.wraps = path, aside, main, text, wraps
 
 
@@ -94,7 +101,8 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     blocks: list[Block] = []
     # An open element: tag, path, aside, main, and whether it stands aside within a block (its text is left out).
     # Last, the numbers of the elements that are aside by their words or as a form.
-    stack: list[tuple[str, tuple[str, ...], bool, bool, bool, tuple[int, ...]]] = [("", (), False, False, False, ())]
+    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = [("", "", False, False, False, ())]
+    known: dict[tuple[str, str], str] = {}
     held: list[str] = []
     owner = stack[0]
 
@@ -122,7 +130,7 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        closing, tag = m.group(1), (m.group(2) or "").lower()
+        closing, tag = m.group(1), (m.group(2) or "").lower().translate(_PLAIN_NAME)
         if not tag:
             continue
         if closing:
@@ -146,24 +154,33 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
                     break
         elif tag == "br":
             say(" ")
-        _, above, aside, main, muted, wraps = stack[-1]
+        _, _, aside, main, muted, wraps = stack[-1]
+        if len(stack) > DEEPEST:
+            if stack[-1][0] in BLOCK:
+                flush()
+            stack.pop()
         words, name = set(), tag
         for key, *values in _ATTRIBUTE.findall(m.group(3) or ""):
             value = next((v for v in values if v), "").lower()
             words |= set(value.split())
             if key.lower() == "class" and value.split():
-                name += "." + ".".join(sorted(value.split()))
+                name += "." + ".".join(sorted(value.split())).translate(_PLAIN_NAME)
             if value.strip() in MAIN_WORDS or key.lower() == "itemprop" and value == "articlebody":
                 main = True
         main = main or tag in MAIN_TAGS
+        if len(name) > NAME:
+            name = f"{tag[:NAME]}.{_digest(name)}"
         if main and not stack[-1][3]:
             name += MARK
         soft = tag == "form" or bool(words & ASIDE_WORDS) and tag not in ("html", "body", *MAIN_TAGS)
         out = tag in ASIDE_TAGS and tag != "form" or (tag == "header" or bool(words & HEADER_WORDS)) and not main
         if soft and not out:
             wraps = (*wraps, len(paths))
-        path = (*above, name)
-        paths.append(">".join(path))
+        above = stack[-1][1]
+        path = known.get((above, name))
+        if path is None:
+            path = known[above, name] = f"{above}>{name}" if above else name
+        paths.append(path)
         muted = muted or (out or soft) and not aside and tag not in BLOCK
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -177,10 +194,19 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     return paths, blocks
 
 
-def _text_token(block: Block) -> str:
+def _digest(text: str) -> str:
     import xxhash
 
-    return f"{'>'.join(block.path)}={xxhash.xxh64_hexdigest(block.text)}"
+    return xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _text_token(block: Block) -> str:
+    return f"{block.path}={_digest(block.text)}"
+
+
+def _inside(path: str, top: str) -> bool:
+    """Whether a path is that of an element or lies below it."""
+    return path.startswith(top) and path[len(top) : len(top) + 1] in ("", ">")
 
 
 def page_tokens(parsed: tuple[list[str], list[Block]]) -> dict[str, tuple[int, int]]:
@@ -193,15 +219,18 @@ def page_tokens(parsed: tuple[list[str], list[Block]]) -> dict[str, tuple[int, i
     chars: dict[str, int] = defaultdict(int)
     for path in paths:
         counts[path] += 1
-    total = 0
+    own: dict[str, int] = defaultdict(int)
     for block in blocks:
         if not block.aside:
             token = _text_token(block)
             counts[token] += 1
             chars[token] += len(block.text)
-            total += len(block.text)
-            for k in range(1, len(block.path) + 1):
-                chars[">".join(block.path[:k])] += len(block.text)
+            own[block.path] += len(block.text)
+    total = sum(own.values())
+    for path, n in own.items():
+        while path:
+            chars[path] += n
+            path = path.rpartition(">")[0]
     return {"": (1, total)} | {t: (n, chars.get(t, 0)) for t, n in counts.items()}
 
 
@@ -263,8 +292,8 @@ def layout_of(paths: list[str], layouts: list[str] | None) -> str:
     if not layouts:
         return ""
     known = set(layouts)
-    found = [p for p in paths if p in known]
-    return max((p for p in found if found.count(p) == 1), key=lambda p: (p.count(">"), p), default="")
+    found = Counter([p for p in paths if p in known])
+    return max((p for p, n in found.items() if n == 1), key=lambda p: (p.count(">"), p), default="")
 
 
 def nest(candidates: list[tuple[str, int]]) -> list[str]:
@@ -372,41 +401,52 @@ def main_text(page: str | None, root: str | None, constant: frozenset[str]) -> s
 
 
 def slots(blocks: list[Block], root: str | None, constant: frozenset[str]) -> str:
-    """The main text of a parsed page, as ``main_text``."""
+    """The main text of a parsed page, as ``main_text``. A page of constant blocks only keeps them."""
     own = [b for b in blocks if not b.aside]
-    top = tuple(root.split(">")) if root else ()
-    below = [b for b in own if b.path[: len(top)] == top] if top else []
+    below = [b for b in own if _inside(b.path, root)] if root else []
     own = below or [b for b in own if b.main] or own
-    return "\n\n".join(b.text for b in own if _text_token(b) not in constant)
+    return "\n\n".join(b.text for b in [b for b in own if _text_token(b) not in constant] or own)
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    """The pages that templates are counted over: of a host's pages with equal html, one."""
+    known = pages.withColumn("content", F.xxhash64("html")).withColumn("row", F.monotonically_increasing_id())
+    copies = materialise(known.groupBy("host", "content").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("host", "content", "first"), "copies")
+    few = copies.count() <= BROADCAST_HOSTS
+    found = known.join(F.broadcast(copies) if few else copies, ["host", "content"], "left")
+    return found.where(F.col("first").isNull() | (F.col("row") == F.col("first"))).select("host", "key", "html")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without its html, with ``text``: the blocks of the main text joined by blank lines.
 
     A null or empty page has an empty text; a null or odd URL belongs to the host
-    with the empty name; repeated rows each give a row; other columns pass
-    through, but for one called ``text``, which is replaced. Templates are
-    broadcast if there are few hosts, and joined by host otherwise.
+    with the empty name; repeated rows each give a row, and count once for the
+    template, as do all pages with equal html; all other columns pass through,
+    whatever their names, but for one called ``text``, which is replaced. Templates
+    are broadcast if there are few hosts, and joined by host otherwise.
     """
     own = [c for c in pages.columns if c not in (html, "text")]
     host = host_of(url)
-    inputs = pages.select(host.alias("host"), F.col(key).cast("string").alias("key"), F.col(html).alias("html"))
+    inputs = _counted(pages.select(host.alias("host"), F.col(key).cast("string").alias("key"), F.col(html).alias("html")))
     found = layouts(inputs)
     few = found.count() <= BROADCAST_HOSTS
     found = F.broadcast(found) if few else found
     by_layout = templates(inputs, found).groupBy("host").agg(F.collect_list(F.struct("layout", "root", "constant")).alias("templates"))
     known = by_layout.join(found, "host", "left")
-    joined = pages.select(*own, host.alias("__host"), F.col(html).alias("__html")).join(F.broadcast(known) if few else known, F.col("__host") == F.col("host"), "left").drop("host", "__host")
+    # The own columns travel in one, so that none of their names can clash.
+    kept = pages.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), host.alias("host"), F.col(html).alias("html"))
+    joined = kept.join(F.broadcast(known) if few else known, "host", "left").select("own", "html", "templates", "layouts")
     schema = T.StructType([*(pages.schema[c] for c in own), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__html"):
+        for batch in slices(batches, "html"):
             texts = []
-            for page, every, names in zip(*(batch.column(c).to_pylist() for c in ("__html", "templates", "layouts")), strict=True):
+            for page, every, names in zip(*(batch.column(c).to_pylist() for c in ("html", "templates", "layouts")), strict=True):
                 paths, blocks = parse(page)
                 layout = layout_of(paths, names)
                 root, constant = next(((t["root"], t["constant"]) for t in every or () if t["layout"] == layout), (layout, ()))
                 texts.append(slots(blocks, root or layout, frozenset(constant)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(texts, pa.string())], names=[*own, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.column("own").flatten(), pa.array(texts, pa.string())], names=[*own, "text"])
 
     return joined.mapInArrow(released(run), schema)

@@ -1,4 +1,10 @@
-from guardframe.llm.html import deduce, extract, main_text, parse
+import random
+import time
+from collections import defaultdict
+
+import pytest
+
+from guardframe.llm.html import deduce, extract, main_text, occurrences, page_tokens, parse
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav>
 <div class="ad">buy</div><article><h1>Head &amp; line&nbsp;x</h1><p><b>One
@@ -25,8 +31,11 @@ def test_template_of_unmarked_pages(spark):
     assert len(found) == len(rows) and by[3] == f"story 3 {'word ' * 6}".strip() + "\n\nmore 21"
     assert "Welcome" in by[21] and by[22] == by[23] == ""
     assert extract(df.where("false")).count() == 0
-    clash = df.selectExpr("page_id", "url", "html", "'old' AS text", "1 AS root", "2 AS constant")
-    assert {r["page_id"]: r["text"] for r in extract(clash.select("page_id", "url", "html", "text")).collect()} == by
+    clash = df.selectExpr("page_id", "url", "html", "'old' AS text", "1 AS root", "2 AS constant", "'h' AS host", "'o' AS own", "0 AS layouts", "array(3) AS templates", "4 AS key", "5 AS row", "'x' AS __host")
+    again = extract(clash)
+    assert again.columns == [c for c in clash.columns if c not in ("html", "text")] + ["text"]
+    for r in again.collect():
+        assert r["text"] == by[r["page_id"]] and (r["root"], r["constant"], r["host"], r["own"], r["layouts"], r["templates"], r["key"], r["row"], r["__host"]) == (1, 2, "h", "o", 0, [3], 4, 5, "x")
 
 
 def test_deduction_keeps_the_innermost_root():
@@ -68,3 +77,43 @@ def test_wrappers_do_not_hide_the_page():
         assert main_text(f"{start}<article>{body}</article>{end}<p>more</p>", None, frozenset()) == "Head\n\nthe story", start
     teaser = '<div class="related"><article>next</article></div>'
     assert main_text(f"<article><p>the long story</p></article>{teaser}", None, frozenset()) == "the long story"
+
+
+def test_repeated_rows_keep_their_text(spark):
+    page = lambda i: f'<html><body><div class="bar">Welcome all</div><article><p>story {i} {"word " * 20}</p></article></body></html>'
+    rows = [(i, f"http://a.example/{i}", page(7)) for i in range(12)] + [(50, "http://a.example/x", page(7))] * 9 + [(60 + i, f"http://a.example/{i}", page(100 + i)) for i in range(3)]
+    rows += [(90, "http://b.example/x", page(1))] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for r in extract(df).collect():
+        k = 7 if r["page_id"] <= 50 else 1 if r["page_id"] == 90 else r["page_id"] + 40
+        assert r["text"].endswith(f"story {k} {'word ' * 20}".strip()), r
+
+
+def test_occurrence_vectors_by_brute_force(spark):
+    """Tokens are in one class if and only if they have the same counts page by page."""
+    rng = random.Random(3)
+    part = lambda: rng.choice(["<p>one</p>", "<div class=a><b>two</b></div>", "<ul><li>x<li>y</ul>", "<div class=a>three</div>", ""])
+    pages = [f"<html><body>{''.join(part() for _ in range(5))}</body></html>" for _ in range(12)]
+    df = spark.createDataFrame([("h", str(i), p, ["none"]) for i, p in enumerate(pages)], "host string, key string, html string, layouts array<string>").repartition(3)
+    found, plain = defaultdict(set), defaultdict(set)
+    for r in occurrences(df).collect():
+        found[r["pages"], r["times"], r["vector"]].add(r["token"])
+    counts = [page_tokens(parse(p)) for p in pages]
+    for token in {t for c in counts for t in c}:
+        plain[tuple(c.get(token, (0, 0))[0] for c in counts)].add(token)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, plain.values())) and len(plain) > 5
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div class=x>" * 100_000 + "text", "<b>" * 50_000 + "<div>a</div>" * 20_000, "<p>" + "word " * 300_000, "<" * 500_000, "<title>" * 100_000, "<a '" * 100_001 + "x", "</p>" * 200_000, "<!--" * 200_000, "&" * 400_000, "<li class='a=b>c'>" * 50_000])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    tokens = page_tokens(parse(page))
+    main_text(page, None, frozenset())
+    assert time.process_time() - began < 10 and sum(len(t) for t in tokens) < 4_000_000
+
+
+def test_names_cannot_pass_for_blocks():
+    paths, blocks = parse('<div class="a=b x>y"><p>t</p></div>')
+    assert paths == ["div.a_b.x_y", "div.a_b.x_y>p"] and blocks[0].path == paths[1]
+    deep = parse("<div>" * 1000 + "<p>inside</p>")[1]
+    assert [b.text for b in deep] == ["inside"]
