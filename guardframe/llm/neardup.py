@@ -5,10 +5,11 @@ independent trees: a node selects a few coordinates by hashing its own path,
 and a document goes to one child for each of them, named by its minwise token
 there, so documents meet the oftener the more alike they are. Nodes that are
 small enough are compared exhaustively; larger ones branch again. Signatures
-only propose pairs: a link is confirmed on the two full sets. Two passes over
-the trees propose one pair a document and node, so a group of thousands of near
-copies grows together in linear work; the last pass compares every pair that
-still lies across components.
+only propose pairs: a link is confirmed on the two full sets. In nodes that are
+too large to be compared every document first proposes one pivot, so a group of
+thousands of near copies grows together in linear work before anything
+branches. Two passes over the trees then propose one pair a document and node;
+the last pass compares every pair that still lies across components.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ TREES, BRANCH = 2, 3
 LEAF, MOST, DEPTH = 2000, 40_000, 4
 #: Partners that one copy of a hub's set is held against.
 PART = 200
+#: Pivots that the documents of large nodes are held against, one after the other.
+TURNS = 3
+#: Parts in which the partners of a hub are joined with their number.
+SALTS = 64
 #: Minwise values in a signature, 16 bits each.
 COORDINATES = 64
 #: Ids that are broadcast at most; beyond, the same join is shuffled.
@@ -209,6 +214,38 @@ def leaves(reps: DataFrame) -> DataFrame:
     return out.unionByName(_blocks(places, large))
 
 
+def _crowd(places: DataFrame) -> DataFrame | None:
+    """The places in nodes below the roots that would have to branch, None if there is none."""
+    large = materialise(places.groupBy("node").count().where(F.col("count") > LEAF).select("node"), "crowded")
+    return materialise(places.join(large, "node", "left_semi"), "crowd") if large.limit(1).count() else None
+
+
+def _near_pivots(crowd: DataFrame, turn: int, percent: int) -> DataFrame | None:
+    """Pairs (``hub``, ``id``) to be confirmed: in each node with too many pairs across components
+    a document proposes the node's pivot, a document chosen by hash. None if there is no such node.
+
+    Every document gives a row a node at most, however many are alike.
+    """
+    by = F.xxhash64("id", F.lit(turn))
+    if turn:  # before, every document is a component of its own
+        large = materialise(_sizes(crowd).where(F.col("pairs") > LEAF * LEAF / 2).select("node"), "crowded")
+        if not large.limit(1).count():
+            return None
+        crowd = crowd.join(large, "node", "left_semi")
+    least = crowd.groupBy("node").agg(F.min(by).alias("least"))
+    pivots = crowd.join(least, "node").where(by == F.col("least")).select("node", *(F.col(c).alias(f"pivot_{c}") for c in _KEPT))
+    held = crowd.join(pivots, "node").where((F.col("component") != F.col("pivot_component")) & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                equal = np.count_nonzero(_signatures(batch.column("signature")) == _signatures(batch.column("pivot_signature")), axis=1)
+                near = pa.array(equal >= _least_equal(percent))
+                yield pa.RecordBatch.from_arrays([batch.column("pivot_id").filter(near), batch.column("id").filter(near)], names=["hub", "id"])
+
+    return held.select("pivot_id", "id", "signature", "pivot_signature").mapInArrow(released(run), "hub long, id long").distinct()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """Tables that hold whole groups of equal keys, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -241,6 +278,12 @@ def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(first[several].tolist(), last[several].tolist(), strict=True)
 
 
+def _least_equal(percent: int) -> float:
+    """Equal values of two signatures, four standard deviations below what the threshold gives."""
+    share = percent / 100
+    return COORDINATES * (share - 4 * (share * (1 - share) / COORDINATES) ** 0.5)
+
+
 def _alike(signatures: np.ndarray, n: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For documents sorted by set size: each one, the later ones of other components that
     may reach the similarity, and how many values of the signatures are equal.
@@ -248,8 +291,7 @@ def _alike(signatures: np.ndarray, n: np.ndarray, component: np.ndarray, percent
     That number lies at most four standard deviations below what the threshold
     gives; set sizes must allow the similarity.
     """
-    share = percent / 100
-    least = COORDINATES * (share - 4 * (share * (1 - share) / COORDINATES) ** 0.5)
+    least = _least_equal(percent)
     ends = np.searchsorted(n, n * 100 // percent, side="right")
     for i in range(n.size - 1):
         stop = int(ends[i])
@@ -364,9 +406,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A hub's partners are dealt into parts of bounded size, each with a copy of
     the hub's set, so a set is shuffled about once for each hub it is held against.
+    Only hubs of several parts are joined back, by (hub, a hash of the partner) if
+    they are many, so no task gets all partners of one.
     """
-    counts = pairs.groupBy("hub").count()
-    dealt = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / PART)).cast("long").alias("part"), "id")
+    hot = materialise(pairs.groupBy("hub").count().where(F.col("count") > PART), "hubs")
+    salt = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS))
+    if hot.count() <= BROADCAST_IDS:
+        counted = pairs.join(F.broadcast(hot), "hub", "left")
+    else:
+        counted = pairs.withColumn("salt", salt).join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["hub", "salt"], "left")
+    dealt = counted.select("hub", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("count", F.lit(1)) / PART)).cast("long").alias("part"), "id")
     members = dealt.unionAll(dealt.select("hub", "part", F.col("hub").alias("id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +455,8 @@ def _labelled(reps: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``reps`` with the component that each belongs to so far."""
     if roots is None:
         return reps.withColumn("component", F.col("id"))
-    return reps.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("root", "id")).drop("root")
+    joined = reps.drop("component").join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("root", "id")).drop("root")
+    return materialise(joined, "labelled")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -429,6 +479,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         "representatives",
     )
     roots, links, alive = None, None, reps
+    crowd = _crowd(_places(_labelled(reps, None)))
+    for turn in range(TURNS if crowd is not None else 0):
+        pairs = _near_pivots(crowd, turn, percent)
+        if pairs is None:
+            break
+        pairs = materialise(pairs, "pairs")
+        some = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct()
+        found = materialise(_confirmed(pairs, _sets(docs, some, key, text, size), percent), "links")
+        links = found if links is None else links.unionAll(found)
+        roots = connected_components(links, 3)
+        crowd = _labelled(crowd, roots)
     for _ in range(2):
         pairs = materialise(_proposed(leaves(_labelled(alive, roots)), percent), "pairs")
         some = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct()
