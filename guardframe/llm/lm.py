@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardframe.llm.common import fold, materialise, released, slices
+from guardframe.llm.hashing import GOLD, mixed, spaced, word_hashes
 
 #: Words whose counts every task holds, each a leaf of its own; counts of the others are joined.
 HELD = 1 << 18
@@ -43,91 +43,20 @@ FEW = 4
 #: Rows of weights in a block of the averaging, and parts in which each block is summed first.
 BLOCK, PARTS = 1 << 12, 16
 SMOOTH = 0.1
-#: Bytes of text that are hashed at once, and split at white space.
-STRETCH = 1 << 19
-
-_BASE = 0x9E3779B97F4A7C15
-_GOLD, _MIX = np.uint64(_BASE), np.uint64(0xBF58476D1CE4E5B9)
 #: Hash of the end of a text (the empty word).
 END = np.uint64(0xD6E8FEB86659FD93)
+_HIGH = np.uint64(32)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x *= _MIX
-    x ^= x >> np.uint64(29)
-    x *= _GOLD
-    x ^= x >> np.uint64(32)
-    return x
-
-
-@cache
-def _letters() -> np.ndarray:
-    """A number for each byte, equal for A-Z and a-z; 0 for white space."""
-    table = _mixed(np.arange(1, 257, dtype=np.uint64) * _GOLD) | np.uint64(1)
-    table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
-    table[[0x20, *range(0x09, 0x0E)]] = 0
-    return table
-
-
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    both = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(1 << bits, base, dtype=np.uint64)
-        steps[0] = 1
-        both.append(np.cumprod(steps, dtype=np.uint64))
-    return both[0], both[1]
-
-
-def _hashed_stretch(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in some bytes; a word also begins at each of ``firsts``."""
-    values = _letters()[data]
-    inside = values != 0
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    starts[firsts] = inside[firsts]
-    at = np.flatnonzero(starts)
-    if not at.size:
-        return at, np.zeros(0, dtype=np.uint64)
-    ends = np.append(at[1:], data.size)  # what lies between adds nothing
-    up, down = _powers(max(1, int(data.size).bit_length()))
-    values *= up[: data.size]
-    sums = np.zeros(data.size + 1, dtype=np.uint64)
-    np.cumsum(values, out=sums[1:])
-    return at, _mixed((sums[ends] - sums[at]) * down[at])
-
-
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words after lower-casing A-Z, each text's followed by the end's,
     and where each text begins among them (the number of tokens last). Null texts are empty."""
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.zeros(0, dtype=np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    firsts = np.unique(offsets[:-1][np.diff(offsets) > 0])
-    places, hashes, at = [], [], 0
-    while at < data.size:
-        stop = min(data.size, at + STRETCH)
-        while stop < data.size:  # to the end of a word
-            white = np.flatnonzero(_letters()[data[stop : stop + 4096]] == 0)
-            stop = stop + int(white[0]) if white.size else min(data.size, stop + 4096)
-            if white.size:
-                break
-        own = firsts[np.searchsorted(firsts, at) : np.searchsorted(firsts, stop)] - at
-        found, said = _hashed_stretch(data[at:stop], own)
-        places.append(found + at)
-        hashes.append(said)
-        at = stop
-    words = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
-    first = np.searchsorted(np.concatenate([np.zeros(0, dtype=np.int64), *places]), offsets)
+    words, first = word_hashes(column, spaced())
     begins = first + np.arange(first.size)
     tokens = np.full(words.size + len(column), END, dtype=np.uint64)
-    ends = np.ones(tokens.size, dtype=bool)
-    ends[begins[1:] - 1] = False
-    tokens[ends] = words
+    inside = np.ones(tokens.size, dtype=bool)
+    inside[begins[1:] - 1] = False
+    tokens[inside] = words
     return tokens, begins
 
 
@@ -159,7 +88,7 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times, held, least = [], [], 0, COUNTED
         for batch in slices(batches, "text"):
-            own, n = _counts(word_hashes(batch.column("text"))[0])
+            own, n = _counts(token_hashes(batch.column("text"))[0])
             keys.append(own)
             times.append(n)
             held += own.size
@@ -231,7 +160,7 @@ class Vocabulary:
         self.length = known.sum(axis=1).astype(np.int32)
         self.begin = (np.cumsum(self.length) - self.length).astype(np.int32)
         self.way = (nodes[known] * WIDE + np.stack([w[1] for w in way], axis=1)[known]).astype(np.int32)
-        self.node_hash = (_mixed(np.arange(1, classes + 1, dtype=np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32)
+        self.node_hash = (mixed(np.arange(1, classes + 1, dtype=np.uint64) * GOLD) >> _HIGH).astype(np.uint32)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Each token's leaf; that of all other words is the last."""
@@ -256,10 +185,9 @@ def features(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     one[first], two[first] = END, END  # the end of a text stands for what is before one
     second = first[np.diff(begins) > 1] + 1
     two[second] = END
-    high = np.uint64(32)
-    pair = (one + np.uint64(0x632BE59BD9B4E019)) * _MIX ^ two
-    pair *= _GOLD
-    return (one >> high).astype(np.uint32), (pair >> high).astype(np.uint32), (two * _MIX >> high).astype(np.uint32)
+    pair = mixed(one) ^ two
+    pair *= GOLD
+    return (one >> _HIGH).astype(np.uint32), (pair >> _HIGH).astype(np.uint32), (mixed(two) >> _HIGH).astype(np.uint32)
 
 
 class Model:
@@ -371,7 +299,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: i
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             model = Model(vocabulary, start.copy())
             for batch in slices(batches, "text"):
-                tokens, begins = word_hashes(batch.column("text"))
+                tokens, begins = token_hashes(batch.column("text"))
                 leaves, context = vocabulary.places(tokens), features(tokens, begins)
                 for at in range(0, tokens.size, BATCH_TOKENS):
                     model.update(leaves[at : at + BATCH_TOKENS], tuple(x[at : at + BATCH_TOKENS] for x in context))
@@ -454,7 +382,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: n
         for batch in slices(batches, "__lm_text"):
             if not batch.num_rows:
                 continue
-            tokens, begins = word_hashes(batch.column("__lm_text"))
+            tokens, begins = token_hashes(batch.column("__lm_text"))
             leaves, context, first = vocabulary.places(tokens), features(tokens, begins), begins[:-1]
             each = [model.log10(leaves[at : at + BATCH_TOKENS], tuple(x[at : at + BATCH_TOKENS] for x in context)) for at in range(0, tokens.size, BATCH_TOKENS)]
             other = leaves == vocabulary.words

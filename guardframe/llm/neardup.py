@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from guardframe.llm.common import materialise, released, slices
 from guardframe.llm.components import connected_components
+from guardframe.llm.hashing import spaced, word_hashes
 
 #: Independent trees, and coordinates that a node selects.
 TREES, BRANCH = 2, 3
@@ -56,43 +57,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
 @cache
 def _keys() -> np.ndarray:
     """A random odd factor for each minwise coordinate, those of the roots first."""
-    return _mix(np.arange(1, TREES * BRANCH + COORDINATES + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
+    return (_mix(np.arange(1, TREES * BRANCH + COORDINATES + 1, dtype=np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept in a bounded cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+def _rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` consecutive words."""
+    out = np.full(words.size - width + 1, width, dtype=np.uint64)
+    for k in range(width):
+        out = _mix(out * _GOLD + words[k : k + out.size])
+    return out
 
 
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles of ``size`` words; of fewer
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``size`` words; of fewer
     words the whole sequence is the one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(size, len(words))
-    out = np.full(ids.size - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        out = _mix(out * _GOLD + ids[k : k + out.size])
-    out.sort()
-    return out[np.append(True, out[1:] != out[:-1])]
+    words, begins = word_hashes(texts, spaced())
+    rolled = _rolled(words, size) if words.size >= size else words[:0]
+    for first, last in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        n = last - first
+        if n < size:
+            yield _rolled(words[first:last], n) if n else words[:0]
+            continue
+        out = np.sort(rolled[first : last - size + 1])
+        yield out[np.append(True, out[1:] != out[:-1])]
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each coordinate's hash over a set."""
-    keys = _keys()
-    least = np.full(keys.size, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, shingles.size, 2048):
-        part = shingles[at : at + 2048, None] * keys
-        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
+    """The least value of each coordinate's 32-bit hash over a set."""
+    keys, own = _keys(), shingles.astype(np.uint32)
+    least = np.full(keys.size, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, own.size, 1024):
+        np.minimum(least, (own[at : at + 1024, None] * keys).min(axis=0), out=least)
     return least
 
 
@@ -125,11 +120,9 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     first = TREES * BRANCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches, "text"):
             n, digests, signatures, roots = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                shingles = shingle_set(t, size, hashes)
+            for shingles in shingle_sets(batch.column("text"), size):
                 n.append(shingles.size)
                 if not shingles.size:
                     for part in (digests, signatures, roots):
@@ -137,8 +130,8 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     continue
                 least = minwise(shingles)
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                signatures.append((least[first:] >> np.uint64(20)).astype(np.uint16).tobytes())
-                roots.append(_mix(_mix(least[:first]) + np.arange(1, first + 1, dtype=np.uint64)).tobytes())
+                signatures.append(least[first:].astype(np.uint16).tobytes())
+                roots.append(_mix(_mix(least[:first].astype(np.uint64)) + np.arange(1, first + 1, dtype=np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, signatures, roots))], names=schema.names)
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(released(run), schema)
@@ -444,9 +437,8 @@ def _sets(docs: DataFrame, some: DataFrame, key: str, text: str, size: int) -> D
     wanted = docs.where(F.col(key).isNotNull()).join(F.broadcast(ids) if few else ids, key, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _binaries([shingle_set(t, size, hashes) for t in batch.column("text").to_pylist()])], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _binaries(list(shingle_sets(batch.column("text"), size)))], names=["id", "shingles"])
 
     return wanted.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(released(run), "id long, shingles binary")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from guardframe.llm import lm
-from guardframe.llm.lm import Model, Vocabulary, features, learn, score, word_hashes
+from guardframe.llm.lm import Model, Vocabulary, features, learn, score, token_hashes
 
 
 def plain_tokens(text):
@@ -13,26 +13,12 @@ def plain_tokens(text):
 
 
 def vocabulary_of(counts: dict[str, int], tokens: int, distinct: int) -> tuple[Vocabulary, dict[str, int]]:
-    hashes = {w: int(word_hashes(pa.array([w]))[0][0]) for w in counts}
+    hashes = {w: int(token_hashes(pa.array([w]))[0][0]) for w in counts}
     order = sorted(counts, key=lambda w: (-counts[w], hashes[w]))
     v = Vocabulary(np.array([hashes[w] for w in order], dtype=np.uint64), np.array([counts[w] for w in order]), tokens, distinct)
     return v, {w: k for k, w in enumerate(order)}
 
 
-def test_hashes_tell_words_apart_as_plain_python(monkeypatch):
-    texts = [None, "", " \t", "The the tHE", "a\x0bb\x0cc\x1fd   e", "Ünï ünï Ünï", "x" * 9000, "ab ba aab aba", "no-space-at-end", "next one", "中文 😀 中文"]
-    for stretch in (lm.STRETCH, 7):
-        monkeypatch.setattr(lm, "STRETCH", stretch)
-        tokens, begins = word_hashes(pa.array(texts, pa.string()))
-        expected = [plain_tokens(t) for t in texts]
-        assert np.diff(begins).tolist() == [len(x) for x in expected]
-        pairs = {(w, int(h)) for w, h in zip([w for x in expected for w in x], tokens, strict=True)}
-        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
-        part, _ = word_hashes(pa.array(texts, pa.string()).slice(3, 2))  # an offset into the buffers
-        assert part.tolist() == tokens[begins[3] : begins[5]].tolist()
-    assert word_hashes(pa.array([], pa.string()))[0].size == 0
-
-
 def test_counts_and_base_by_brute_force(spark, awkward, nothing):
     rows = [(i, f"the cat {'sat' if i % 2 else 'ran'} on The mat w{i}") for i in range(40)] + [(99, None), (98, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -78,7 +64,7 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     weights = rng.normal(scale=0.3, size=Model(v).weights.shape).astype(np.float32)
     model = Model(v, weights)
-    tokens, begins = word_hashes(pa.array(["w3 w7 w7"]))
+    tokens, begins = token_hashes(pa.array(["w3 w7 w7"]))
     context = tuple(np.repeat(x[2:3], 101) for x in features(tokens, begins))
     # Every held word after the same context, plus the leaf of all others.
     assert math.isclose((10 ** model.log10(np.arange(101, dtype=np.int32), context)).sum(), 1.0, abs_tol=1e-4)
@@ -89,8 +75,8 @@ def test_probabilities_sum_to_one():
 
 
 def test_context_of_each_token():
-    a, b, c = (int(h) for h in word_hashes(pa.array(["a b c"]))[0][:3])
-    tokens, begins = word_hashes(pa.array(["a b c", None, "a b c a b c"]))
+    a, b, c = (int(h) for h in token_hashes(pa.array(["a b c"]))[0][:3])
+    tokens, begins = token_hashes(pa.array(["a b c", None, "a b c a b c"]))
     one, pair, skip = features(tokens, begins)
     first, second = begins[0], begins[2]
     for x in (one, pair, skip):
@@ -101,7 +87,7 @@ def test_context_of_each_token():
 def test_update_follows_the_gradient():
     """One step on a batch equals a plain sum of gradients by row, also for rows met often."""
     v, _ = vocabulary_of({f"w{k}": 300 - k for k in range(60)}, 20_000, 80)
-    tokens, begins = word_hashes(pa.array([" ".join(f"w{(k * k) % 61 % 7}" for k in range(60))]))
+    tokens, begins = token_hashes(pa.array([" ".join(f"w{(k * k) % 61 % 7}" for k in range(60))]))
     leaves, context = v.places(tokens), features(tokens, begins)
     model, plain = Model(v), np.zeros_like(Model(v).weights, dtype=np.float64)
     _, taken, rows, _, z, total = model._predict(leaves, context)
@@ -121,9 +107,9 @@ def test_update_follows_the_gradient():
 def test_rare_held_words_learn_from_their_context():
     v, place = vocabulary_of({f"w{k:04}": 20 for k in range(2000)}, 40_000, 2000)
     model = Model(v)
-    tokens, begins = word_hashes(pa.array(["w1499 w1500"] * 50))
+    tokens, begins = token_hashes(pa.array(["w1499 w1500"] * 50))
     for _ in range(20):
         model.update(v.places(tokens), features(tokens, begins))
-    tokens, begins = word_hashes(pa.array(["w1499 w1500", "w1499 w1700"]))
+    tokens, begins = token_hashes(pa.array(["w1499 w1500", "w1499 w1700"]))
     after = model.log10(v.places(tokens), features(tokens, begins))
     assert after[1] > after[4] + 1
