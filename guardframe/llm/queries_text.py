@@ -58,7 +58,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from guardframe.llm.decontaminate import find_overlaps, hit_words
 
-    found = find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     n_hit, items = hit_words().alias("n_hit"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", n_hit, F.size("items").cast("long").alias("n_items"), items, (F.size("hits") > 0).alias("contaminated"))
 
