@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents. All stages but
-the last return the columns of the documents they were given.
+the last return the columns of the documents they were given, whatever their
+names; of these they use ``doc_id`` and ``text``, the first also ``lang``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from guardframe.llm.bpe import encode_decode
 from guardframe.llm.common import materialise, table
-from guardframe.llm.decontaminate import find_overlaps
+from guardframe.llm.decontaminate import without_overlaps
 from guardframe.llm.langid import UNKNOWN, held_out_fold, identify, learn_profiles
 from guardframe.llm.neardup import BROADCAST_IDS, near_duplicates
 from guardframe.llm.queries_text import vocabulary_path
@@ -27,38 +28,46 @@ MASK = "[SECRET]"
 ORACLE_SQL: str | None = None
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with other names for all columns but ``doc_id`` and ``text``, so that none is
+    taken for an operator's own, and what gives the columns and their names back."""
+    names = {c: c if c in ("doc_id", "text") else f"__own{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null texts and texts without letters."""
     profiles = learn_profiles(docs.where(~F.coalesce(held_out_fold(), F.lit(False))))
-    return identify(docs, profiles).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    own, back = _aside(docs)
+    return back(identify(own, profiles).where(F.col("lang_pred") != UNKNOWN))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group (five-word
-    shingles, similarity 0.8 or more), once if its row is repeated; rows without an id stay."""
-    found = materialise(near_duplicates(docs, size=5, percent=80), "groups")
-    dropped = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
-    several = materialise(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
-
-    def sized(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    kept = docs.join(sized(dropped), "doc_id", "left_anti")
-    if several.limit(1).count():
-        once = kept.join(sized(several), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(sized(several), "doc_id", "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+    """Keeps one row of each near-duplicate group (five-word shingles, similarity 0.8 or more): that
+    with the least id. Every row is a document of its own, also one that shares its id or has none;
+    of rows with equal ids an earlier one stays."""
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = materialise(near_duplicates(numbered, "__row", size=5, percent=80).select("__row", F.col("component_id").alias("__group")), "groups")
+    others = found.where(F.col("__row") != F.col("__group"))
+    members = others.unionAll(others.select(F.col("__group").alias("__row"), "__group").distinct()).join(numbered.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    best = members.groupBy("__group").agg(F.min(order)["row"].alias("__row"))
+    stays = best.select("__row")
+    dropped = materialise(members.select("__row").join(stays, "__row", "left_anti"), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return numbered.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a passage with the benchmark."""
-    return find_overlaps(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(docs.columns)
+    return without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; no document goes."""
-    masked = scan(docs, mask=MASK)
-    return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Masks secrets in the texts, and gives ``n_chars``, where there is one, their length; no document goes."""
+    own, back = _aside(docs)
+    masked = back(scan(own, mask=MASK))
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
