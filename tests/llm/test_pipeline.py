@@ -1,22 +1,66 @@
+import re
+
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as pipeline  # noqa: E402
+from guardframe.llm.secrets import masked, scan_text  # noqa: E402
+from test_decontaminate import brute as overlaps  # noqa: E402
+from test_neardup import brute as groups  # noqa: E402
 
 
 def test_stage_rules(spark, awkward, sf_dir):
-    docs = awkward.selectExpr("doc_id", "text", "lang", "'src' AS source", "1L AS n_chars")
+    docs = awkward.withColumn("n_chars", awkward.doc_id.cast("long"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    own = {tuple(r[c] for c in rest) for r in docs.select(rest).distinct().collect()}
+    ids = lambda df: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.collect())
     kept = pipeline.language_id(spark, docs, sf_dir)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 7, 7, 8, 9]
+    assert ids(kept) == [-1, 3, 4, 5, 6, 7, 7, 8, 9]
     once = pipeline.near_dedup(spark, kept, sf_dir)
-    assert sorted(r["doc_id"] or -1 for r in once.collect()) == [-1, 3, 4, 5, 6, 7, 9]
-    masked = {r["doc_id"]: r for r in pipeline.secret_scan(spark, once, sf_dir).collect()}
-    assert masked[9]["text"] == "[SECRET] [SECRET]" and masked[9]["n_chars"] == 17 and masked[3]["text"] == "a"
+    assert ids(once) == [-1, 3, 4, 5, 6, 7, 9]
+    clean = pipeline.decontamination(spark, once, sf_dir)
+    assert ids(clean) == ids(once)
+    scanned = pipeline.secret_scan(spark, clean, sf_dir)
+    found = {r["doc_id"]: r for r in scanned.collect()}
+    assert found[9]["text"] == "[SECRET] [SECRET]" and found[9]["n_chars"] == 17 and found[3]["text"] == "a"
+    for stage in (kept, once, clean, scanned):  # the own columns, spans, hits, items, n_words, score, lang_pred and others
+        assert stage.columns == docs.columns and {tuple(r[c] for c in rest) for r in stage.collect()} <= own
+    assert ids(pipeline.bpe(spark, scanned, sf_dir)) == ids(scanned)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, sf_dir):
+    rows = [(5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (5, "one two three four five six"), (7, "seven eight nine ten eleven twelve"), (None, "one two three four five six"), (None, None), (3, "")]
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir)
+    assert sorted(kept.collect(), key=str) == sorted([rows[0], rows[1], rows[5], rows[6]], key=str)
+
+
+def test_empty_table(spark, nothing, sf_dir):
+    docs = nothing
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0, name
+
 
+def test_run_over_the_small_table_by_brute_force(spark, sf_dir):
+    """All stages but the first's languages, in plain Python: only null texts and texts without letters have none."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-def test_run_over_the_small_table(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
+    component = groups(docs, 5, 80)
+    docs = [(i, t) for i, t in docs if component[i][1] == i]
+    docs = [(i, t) for i, t in docs if not overlaps(t, items)[1]]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    expected = {}
+    for i, t in docs:
+        ids = tokenizer.encode(masked(t, scan_text(t), pipeline.MASK), add_special_tokens=False).ids
+        expected[i] = len(ids), np.array(ids, dtype="<u4").tobytes()
     found = pipeline.run(spark, sf_dir).collect()
-    assert 0 < len(found) < docs.count() and all(len(r["ids"]) == 4 * r["n_tokens"] for r in found)
-    assert len(pipeline.STAGES) == 5 and len({r["doc_id"] for r in found}) == len(found)
+    assert len(found) == len(expected) and {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in found} == expected
+    assert len(pipeline.STAGES) == 5 and not re.search("SECRET", pipeline.ORACLE_SQL or "")
