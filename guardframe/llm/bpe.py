@@ -4,8 +4,9 @@ A rolling hash over the code points cuts each text where the content says so,
 so that the same passage gives the same chunks in every document. A worker
 encodes each chunk once and keeps the result; where two chunks meet, the word
 that the cut went through is encoded anew and compared, with its neighbours,
-with the tokenizer's own encoding. Where they disagree, the window is widened
-to the whole text, which the tokenizer then encodes itself.
+with the tokenizer's own encoding. Where they disagree, the window is widened by
+words on both sides and encoded again, until its outer words come out as they do
+alone; what the tokenizer gives for the words between then takes their place.
 
 The cut is exact because the tokenizer turns every run of white space into
 one space and then drops it: no token spans white space.
@@ -14,6 +15,7 @@ one space and then drops it: no token spans white space.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +68,7 @@ def _byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts through bounded caches of words and chunks."""
 
-    def __init__(self, path: str, words: int = 150_000, chunk_chars: int = 8 << 20):
+    def __init__(self, path: str, words: int = 100_000, chunk_chars: int = 6 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -157,7 +159,7 @@ class ChunkEncoder:
             if middle is not None:
                 joined = self._join(left, carry, first) if cut else self.word(carry)
                 if joined is None:
-                    return self._library(text)
+                    return self._repaired(text, ends[:-1])
                 for one in (joined, middle):
                     ids.append(one[0])
                     said.append(one[1])
@@ -165,6 +167,33 @@ class ChunkEncoder:
         one = self.word(carry)
         return b"".join([*ids, one[0]]), " ".join([s for s in [*said, one[1]] if s])
 
+    def _repaired(self, text: str, cuts: list[int]) -> tuple[bytes, str]:
+        """A text whose chunks disagree at some cut: word by word, with windows around the cuts
+        widened until the library's encoding agrees with the words at their ends."""
+        places = [(m.start(), m.group()) for m in re.finditer("[^ ]+", _blanks(text))]
+        starts, words = [p[0] for p in places], [p[1] for p in places]
+        pieces: list[tuple[bytes, str] | None] = [self.word(w) for w in words]
+        for cut in cuts:
+            at, reach = max(0, bisect_right(starts, cut) - 1), 1
+            while True:
+                low, high = max(0, at - reach), min(len(words), at + reach + 1)
+                while low and pieces[low] is None:  # inside what an earlier cut has replaced
+                    low -= 1
+                said = self._library(" ".join(words[low:high]))
+                own = [p for p in pieces[low:high] if p is not None]
+                if said == (b"".join(p[0] for p in own), " ".join(p[1] for p in own if p[1])):
+                    break
+                if low == 0 and high == len(words):
+                    return said
+                first, last = pieces[low], pieces[high - 1]
+                if high - low > 2 and first and last and said[0].startswith(first[0]) and said[0].endswith(last[0]) and said[1].startswith(f"{first[1]} ") and said[1].endswith(f" {last[1]}") and len(said[0]) >= len(first[0]) + len(last[0]) > 0:
+                    pieces[low + 1] = said[0][len(first[0]) : len(said[0]) - len(last[0])], said[1][len(first[1]) + 1 : len(said[1]) - len(last[1]) - 1]
+                    pieces[low + 2 : high - 1] = [None] * (high - low - 3)
+                    break
+                reach *= 2
+        kept = [p for p in pieces if p is not None]
+        return b"".join(p[0] for p in kept), " ".join(p[1] for p in kept if p[1])
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 

@@ -53,3 +53,15 @@ def test_a_join_that_disagrees_is_repaired(library, monkeypatch):
     real = encoder.word
     monkeypatch.setattr(encoder, "word", lambda word: (b"", "") if word else real(word))
     assert encoder.encode(text) == expected(library, text)
+
+
+def test_repairs_stop_where_the_outer_words_agree(library, monkeypatch):
+    """Only the words at the cuts are wrong: the windows replace them, not the whole text."""
+    rng, encoder = random.Random(2), ChunkEncoder(PATH)
+    text = " ".join(str(rng.random()) for _ in range(3000))
+    wrong = {text[: c].rsplit(" ", 1)[-1] + text[c:].split(" ", 1)[0] for c in chunk_ends(text)[:-1]}
+    real, asked = encoder.word, []
+    monkeypatch.setattr(encoder, "word", lambda word: (b"\1\0\0\0", "?") if word in wrong else real(word))
+    whole = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda t: (asked.append(len(t)), whole(t))[1])
+    assert len(wrong) > 2 and encoder.encode(text) == expected(library, text) and max(asked) < len(text) / 20
