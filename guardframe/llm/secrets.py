@@ -3,8 +3,10 @@
 Three base patterns report spans of their own. Beside them the scan collects
 weak parts that mean little alone: unlabelled key material and endpoints. An
 interval join inside a document pairs them: parts are sorted by place, and a
-weak part is reported only if complementary parts lie in the same scope, that
-is, within ``reach`` code points with no blank line between.
+weak part is reported only if complementary parts lie in the same scope. A scope
+ends at a blank line, unless the lines beside it are settings (a name, then = or
+:) or comments, so that the parts of a configuration are joined across its blank
+lines, however far apart.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ _MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{36,}={0,2}(?![A-Za-
 #: Further access identifiers, which link weak parts but aren't reported: other prefixes of the same maker, and named ones.
 _IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|LTAI|AKID)[A-Za-z0-9]{12,}|(?ai:access_?key_?id|client_?id|account_?(?:name|id)|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""")
 _ENDPOINT = re.compile(r"""(?ai:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+""")
-_SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
+_BLANK_LINES = re.compile(r"\n(?:[\x20\t\r]*+\n)++")
+_SETTING = re.compile(r"""[\x20\t]*+(?:[#;]|//|(?:export\x20+)?["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?[\x20\t]*+[:=])""")
 
 Span = tuple[int, int, int]
 
@@ -56,13 +59,23 @@ def weak_spans(text: str) -> list[Span]:
     return found
 
 
-def _near(starts: list[int], spans: list[Span], span: Span, scope: tuple[int, int], reach: int) -> bool:
-    """Whether one of the spans, sorted by start, lies in the scope and within reach of another.
+def scope_ends(text: str) -> list[int]:
+    """Where the scopes of a text end: at the blank lines that don't stand between settings."""
+    ends = []
+    for m in _BLANK_LINES.finditer(text):
+        before = text.rfind("\n", 0, m.start()) + 1
+        if not (_SETTING.match(text, before, m.start()) and _SETTING.match(text, m.end())):
+            ends.append(m.start())
+    return ends
+
+
+def _near(starts: list[int], spans: list[Span], scope: tuple[int, int]) -> bool:
+    """Whether one of the spans, sorted by start, lies in the scope.
 
     No span is longer than the distance to the next one's start of its own kind,
     so the last that starts before the window is the only one that can reach into it.
     """
-    low, high = max(scope[0], span[0] - reach), min(scope[1], span[2] + reach)
+    low, high = scope
     at = bisect_left(starts, low)
     if at < bisect_right(starts, high):
         return True
@@ -78,7 +91,7 @@ def _outermost(spans: list[Span]) -> list[Span]:
     return out
 
 
-def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
+def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts with complementary parts in their scope.
 
     Material needs an access identifier or an endpoint; an endpoint needs both
@@ -92,27 +105,33 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     solid = {k: (v, [s[0] for s in v]) for k, v in by_kind.items() if k < len(BASE_KINDS)}
     by_kind[1] = _outermost([*by_kind[1], *((m.start(), 1, m.end()) for m in _IDENTIFIER.finditer(text))])
     starts = {k: [s[0] for s in v] for k, v in by_kind.items()}
-    ends = [0, *(m.start() for m in _SCOPE_END.finditer(text)), len(text)]
-    near = lambda kind, span, scope: _near(starts[kind], by_kind[kind], span, scope, reach)
+    ends = [0, *scope_ends(text), len(text)]
+    known: dict[tuple[int, tuple[int, int]], bool] = {}
+
+    def near(kind: int, scope: tuple[int, int]) -> bool:
+        if (kind, scope) not in known:
+            known[kind, scope] = _near(starts[kind], by_kind[kind], scope)
+        return known[kind, scope]
+
     found = []
     for span in weak:
         at = max(1, bisect_right(ends, span[0]))
         scope = (ends[at - 1], ends[at] if at < len(ends) else len(text))
         if span[1] == 3:
             inside = any(s <= span[0] and span[2] <= e for own, at in solid.values() for s, _, e in own[max(0, bisect_right(at, span[0]) - 1) : bisect_right(at, span[0])])
-            if not inside and (near(1, span, scope) or near(4, span, scope)):
+            if not inside and (near(1, scope) or near(4, scope)):
                 found.append(span)
-        elif near(1, span, scope) and any(near(k, span, scope) for k in (0, 2, 3)):
+        elif near(1, scope) and any(near(k, scope) for k in (0, 2, 3)):
             found.append(span)
     return [s for s in found if (s[0], s[2]) not in taken]
 
 
-def scan_text(text: str | None, reach: int = 200) -> list[Span]:
+def scan_text(text: str | None) -> list[Span]:
     """All spans of a text, by start and then kind."""
     if not text:
         return []
     base = base_spans(text)
-    return sorted(base + linked_spans(text, base, reach))
+    return sorted(base + linked_spans(text, base))
 
 
 def masked(text: str | None, spans: list[Span], mask: str) -> str | None:
@@ -129,7 +148,7 @@ def masked(text: str | None, spans: list[Span], mask: str) -> str | None:
     return mask.join(kept)
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = 200, mask: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", mask: str | None = None) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end) in code points, end
     exclusive, by start and then kind in the order of KINDS. With ``mask``, the
     spans in the text column are also replaced by it.
@@ -146,7 +165,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = 200, mask: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = batch.column(text).to_pylist()
-            spans = [scan_text(t, reach) for t in texts]
+            spans = [scan_text(t) for t in texts]
             said = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in one] for one in spans], arrow_span)
             columns = {name: batch.column(name) for name in batch.schema.names}
             if mask is not None:
