@@ -22,7 +22,7 @@ from guardframe.llm.common import materialise, released
 
 #: Distinct vectors in a shard, links of a vector (twice as many on the lowest level), and
 #: how many vectors a search keeps while it builds and while it answers.
-SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 4096, 12, 64, 96
+SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16_384, 12, 64, 128
 #: Queries in a block: what is sent to every task at once.
 QUERY_BLOCK = 20_000
 
@@ -131,7 +131,8 @@ class Graph:
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(``id``, ``v``) of the vectors that aren't null, empty or zero and have only finite components."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    own = vectors.select(F.col(key).cast("long").alias("id"), (F.col(vector) if single else F.col(vector).cast("array<double>")).alias("v"))
     return own.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
 
 
@@ -140,7 +141,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
-_INDEX = "shard long, width int, ids binary, owners binary, vectors binary, near binary, levels int, entry int"
+_INDEX = "shard long, width int, bytes int, ids binary, owners binary, vectors binary, near binary, levels int, entry int"
 
 
 def build_index(vectors: DataFrame, neighbours: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -148,20 +149,23 @@ def build_index(vectors: DataFrame, neighbours: int, key: str = "vec_id", vector
 
     Of equal vectors only the ``neighbours + 1`` least ids are kept, since no
     other can be among a query's nearest; tasks cut each such group before it is
-    shuffled, so a vector with a third of all rows costs a few rows a task.
+    shuffled, so a vector with a third of all rows costs a few rows a task. An id
+    with several vectors is a candidate with each. Vectors keep their precision.
     """
     order = Window.partitionBy("v").orderBy("id")
-    few = usable(vectors, key, vector).withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1)
+    own = usable(vectors, key, vector).distinct()
+    kind = np.float32 if own.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    few = own.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1)
     sets = materialise(few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
     shards = max(1, -(-sets.count() // SHARD))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.iloc[np.argsort([x[0] for x in group["ids"]], kind="stable")]
-        rows = np.array(group["v"].tolist(), dtype=np.float32)
+        rows = np.array(group["v"].tolist(), dtype=kind)
         graph = Graph(_unit(rows)).build()
         ids = [np.asarray(x, dtype=np.int64) for x in group["ids"]]
         owners = np.repeat(np.arange(len(ids)), [len(x) for x in ids]).astype(np.int32)
-        return pd.DataFrame({"shard": [key[0]], "width": [rows.shape[1]], "ids": [np.concatenate(ids).tobytes()], "owners": [owners.tobytes()], "vectors": [rows.tobytes()], "near": [b"".join(n.tobytes() for n in graph.near)], "levels": [len(graph.near)], "entry": [graph.entry]})
+        return pd.DataFrame({"shard": [key[0]], "width": [rows.shape[1]], "bytes": [rows.itemsize], "ids": [np.concatenate(ids).tobytes()], "owners": [owners.tobytes()], "vectors": [rows.tobytes()], "near": [b"".join(n.tobytes() for n in graph.near)], "levels": [len(graph.near)], "entry": [graph.entry]})
 
     placed = sets.select("v", "ids", F.size("v").alias("width"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("long").alias("shard"))
     return materialise(placed.groupBy("shard", "width").applyInPandas(build, _INDEX), "graphs")
@@ -169,7 +173,7 @@ def build_index(vectors: DataFrame, neighbours: int, key: str = "vec_id", vector
 
 def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     ids, owners = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["owners"], dtype=np.int32)
-    rows = np.frombuffer(row["vectors"], dtype=np.float32).reshape(-1, row["width"])
+    rows = np.frombuffer(row["vectors"], dtype=f"f{row['bytes']}").reshape(-1, row["width"])
     flat, near, at = np.frombuffer(row["near"], dtype=np.int32), [], 0
     for level in range(row["levels"]):
         links = LINKS * (2 if level == 0 else 1)
@@ -184,16 +188,20 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 5, width: int
 
     Queries of another length than a shard's vectors don't meet them. Vectors
     that are null, zero or hold null or non-finite components take no part, as
-    queries or as candidates; a query with fewer candidates has fewer rows. The
-    queries go to the tasks in blocks of ``block`` rows.
+    queries or as candidates; a query with fewer candidates has fewer rows. Of
+    an id that is asked with several vectors the least counts. The queries go to
+    the tasks in blocks of ``block`` rows; what a block has found is written
+    before the next is gathered, so the driver holds one block, whatever their number.
     """
-    own = usable(queries, key, vector).dropDuplicates(["id"])
+    own = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    kind = np.float32 if own.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    own = materialise(own, "queries")
     blocks = max(1, -(-own.count() // block))
     out = None
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         asked = [(r["id"], r["v"]) for r in part.orderBy("id").collect()]
-        packed = {w: (np.array([i for i, v in asked if len(v) == w], dtype=np.int64), np.array([v for _, v in asked if len(v) == w], dtype=np.float32)) for w in {len(v) for _, v in asked}}
+        packed = {w: (np.array([i for i, v in asked if len(v) == w], dtype=np.int64), np.array([v for _, v in asked if len(v) == w], dtype=kind)) for w in {len(v) for _, v in asked}}
 
         def run(batches: Iterator[pa.RecordBatch], packed: dict = packed) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -214,6 +222,8 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 5, width: int
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", "vec_id", "score"])
 
         found = index.mapInArrow(released(run), "query_id long, vec_id long, score double")
+        if blocks > 1:
+            found = materialise(found, "found")
         out = found if out is None else out.unionAll(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

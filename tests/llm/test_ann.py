@@ -54,3 +54,16 @@ def test_graph_reaches_every_vector():
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     graph = Graph(unit).build()
     assert all(graph.search(graph.unit[i], 20)[0] == i for i in range(0, 300, 7))
+
+
+def test_double_vectors_keep_their_precision(spark):
+    """Scores are of the original vectors, and own columns may have any name."""
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=6).tolist(), 1.0, "x") for i in range(80)] + [(7, rng.normal(size=6).tolist(), 1.0, "x")] * 2
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score double, query_id string").repartition(3)
+    found = search(build_index(df, 3), df.where("vec_id % 50 = 0"), 3).collect()
+    for r in found:
+        q = np.array(data[r["query_id"]][1])
+        best = max(float(np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)) for i, v, *_ in data if i == r["vec_id"])
+        assert math.isclose(r["score"], best, abs_tol=1e-14)
+    assert len(found) == 6 and {r["query_id"] for r in found} == {0, 50}
