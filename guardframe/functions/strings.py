@@ -37,6 +37,34 @@ def cut_bytes(text: Column, most: int, ellipsis: str = "") -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cut, F.lit(ellipsis)))
 
 
+def rfc3339(time: Column) -> Column:
+    """A point in time as RFC 3339 text in UTC, to the microsecond, without trailing zeros."""
+    utc = F.to_utc_timestamp(time, F.current_timezone())
+    parts = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(parts, r"\.?0*$", ""), F.lit("Z"))
+
+
+def millis(nanoseconds: Column) -> Column:
+    """A duration in nanoseconds as milliseconds."""
+    return nanoseconds.cast("double") / 1e6
+
+
+def millis_of_whole_micros(nanoseconds: Column) -> Column:
+    """The same, cut to whole microseconds first."""
+    return F.floor(nanoseconds / 1000).cast("double") / 1e3
+
+
+def short_hash(text: Column) -> Column:
+    """The first eight hex digits of a trimmed text's SHA-256; empty for an empty text."""
+    own = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(own == "", "").otherwise(F.substring(F.sha2(own, 256), 1, 8))
+
+
+def random_id() -> Column:
+    """128 random bits in hex."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def sql_matches(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {sql_text(pattern)})"
 

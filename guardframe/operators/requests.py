@@ -8,16 +8,39 @@ from pyspark.sql import functions as F
 from guardframe.plans.config import Limits
 
 
-def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def totals(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Per conversation ``n_messages``, ``n_bytes`` and the last message's text, from partial sums:
+    however long a conversation is, a task holds one message of it."""
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    last = F.max_by(F.struct(F.col(role).alias("role"), F.col(text).alias("content")), F.struct(F.col(turn), F.col(role)))
+    return turns.groupBy(key).agg(F.count("*").alias("n_messages"), F.sum(size).cast("long").alias("n_bytes"), last.alias("last"))
+
+
+def conversations(turns: DataFrame, limits: Limits | None = None, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: ``messages`` (turn, role, content) in order.
 
-    The only shuffle of the request path. A conversation is one request, so its
-    turns have to meet in one row; the size of a row is what a request may hold.
+    A conversation is one request, so its turns have to meet in one row. With
+    ``limits``, those beyond them are refused before anything is gathered and have
+    no row, so the limits bound a row's size.
     """
     message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    if limits is not None:
+        within = totals(turns, key, turn, role, text).where(limit_error(F.col("n_messages"), F.col("n_bytes"), limits).isNull())
+        turns = turns.join(within.select(key), key, "left_semi")
     return turns.groupBy(key).agg(F.sort_array(F.collect_list(message)).alias("messages"))
 
 
+def system_prompts(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(key, ``system_prompt``): the system messages of each conversation joined by line feeds in order.
+
+    Only system messages are gathered; leading empty ones add no line.
+    """
+    own = turns.where(F.col(role) == "system").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(turn), F.coalesce(F.col(text), F.lit("")).alias("content")))).alias("__own"))
+    texts = F.transform("__own", lambda m: m["content"])
+    joined = F.aggregate(texts, F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit("\n"), x)))
+    return own.select(key, joined.alias("system_prompt"))
+
+
 def last_content(messages: Column) -> Column:
     """The text that is judged: the last message's, whatever its role."""
     return F.try_element_at(messages, F.lit(-1))["content"]
@@ -74,12 +97,3 @@ def model_allowed(model: Column, project_models: Column, provider_models: Column
     listed = lambda models: F.exists(models, lambda m: F.trim(m) == model)
     filled = lambda models: F.coalesce(F.size(models) > 0, F.lit(False))
     return (F.coalesce(model, F.lit("")) == "") | F.when(filled(project_models), listed(project_models)).when(filled(provider_models), listed(provider_models)).otherwise(True)
-
-
-def outcome(status: Column) -> Column:
-    """The error type of an HTTP status; null if it is none."""
-    names = {400: "invalid_request_error", 401: "authentication_error", 403: "policy_error", 413: "invalid_request_error", 429: "rate_limit_exceeded", 500: "configuration_error", 502: "provider_error"}
-    out = None
-    for code, name in names.items():
-        out = F.when(status == code, name) if out is None else out.when(status == code, name)
-    return out

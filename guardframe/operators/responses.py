@@ -75,20 +75,41 @@ def until_block(segments: DataFrame, key: str, order: str, blocked: str) -> Data
 
 
 def merged_segments(segments: DataFrame, key: str = "request_id", order: str = "segment") -> DataFrame:
-    """Per request: distinct categories, the first decision of each, the greatest score of
-    each, and the sum of the latencies. Input: (key, order, category, action, score, latency_ms)."""
+    """Per request over its segments: ``decisions`` (the first action of each category),
+    ``scores`` (the greatest of each name) and the summed latency. Input: (key, order,
+    category, action, score, latency_ms), a row for each hit, its score under the category's name.
+
+    Each category is reduced first, so a request's row holds one entry a category.
+    """
     per_category = segments.groupBy(key, "category").agg(F.min_by("action", order).alias("action"), F.max("score").alias("score"), F.sum("latency_ms").alias("latency_ms"))
-    return per_category.groupBy(key).agg(
-        F.array_join(F.sort_array(F.collect_list("category")), ",").alias("categories"),
-        F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "category", "action"))), ",").alias("decisions"),
-        F.max("score").alias("max_score"),
-        F.sum("latency_ms").alias("latency_ms"),
-    )
+    entry = lambda value: F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("category", value))))
+    return per_category.groupBy(key).agg(F.map_from_entries(entry("action")).alias("decisions"), F.map_from_entries(entry("score")).alias("scores"), F.sum("latency_ms").alias("latency_ms"))
+
+
+def merged_entities(entities: DataFrame, key: str = "request_id", order: str = "segment") -> DataFrame:
+    """The union of a request's entities: one row for each (type, start, end, source), with the first segment that has it."""
+    return entities.groupBy(key, "entity_type", "start_byte", "end_byte", "source").agg(F.min(order).alias(order))
+
+
+def merged_flags(flags: DataFrame, key: str = "request_id", order: str = "segment") -> DataFrame:
+    """Per request the distinct ``flags`` (input: a row for each flag, column ``flag``), in the order in which they first occur."""
+    first = flags.groupBy(key, "flag").agg(F.min(order).alias("__first"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__first", "flag"))), lambda x: x["flag"]).alias("flags"))
+
+
+def post_checked(checks: DataFrame, key: str = "request_id", order: str = "seq") -> DataFrame:
+    """Per request over the checks of its outputs: ``scores`` (the last of each name), whether any
+    check redacted, the decision, and the summed latency. Input: (key, order, name, score, redacted, latency_ms)."""
+    per_name = checks.groupBy(key, "name").agg(F.max_by("score", order).alias("score"), F.bool_or("redacted").alias("redacted"), F.sum("latency_ms").alias("latency_ms"))
+    scores = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("name", "score")))))
+    found = per_name.groupBy(key).agg(scores.alias("scores"), F.coalesce(F.bool_or("redacted"), F.lit(False)).alias("redacted"), F.sum("latency_ms").alias("latency_ms"))
+    return found.withColumn("decision", F.when(F.col("redacted"), "redacted").otherwise("allow"))
 
 
-def last_scores(checks: DataFrame, key: str = "request_id", order: str = "seq") -> DataFrame:
-    """Per request and score name the last score; whether any check redacted; the summed latency."""
-    return checks.groupBy(key, "name").agg(F.max_by("score", order).alias("score"), F.bool_or("redacted").alias("redacted"), F.sum("latency_ms").alias("latency_ms"))
+def captured_text(stream: Column, most_bytes: int) -> Column:
+    """The text of a stream that a post-check looks at; null if the stream was longer than what is
+    captured, which is then let through unchecked."""
+    return F.when(captured(stream, most_bytes), sse_text(stream))
 
 
 def sse_data(chunk: Column) -> Column:

@@ -1,12 +1,13 @@
 """Model outputs: probabilities, class choice, entity labels and spans.
 
-Scores come from logits in columns; a scorer is anything that adds such a
-column (see ``with_scores``). Everything here is native expressions.
+Logits come from models that run in Arrow batches (``analyzed``); what follows from
+them, scores, flags, entities, is native expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,44 +140,105 @@ def entities(labels: Column, offsets: Column) -> Column:
     return merged_spans(F.aggregate(tokens, begin, step, lambda acc: acc["done"]))
 
 
-def with_scores(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[dict[str, float]]]], column: str = "scores") -> DataFrame:
-    """``df`` with a map of scores from a model.
+#: A model: from a batch of token ids and masks to logits, for each text a list (of classes) or a list of lists (of tokens' classes).
+Infer = Callable[[list[list[int]], list[list[int]]], list]
 
-    ``make`` runs once for each task (load the model there) and returns a
-    function from a batch of texts to their scores. Batches come over Arrow.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField(column, T.MapType(T.StringType(), T.FloatType()))])
 
-    def run(batches):
-        import pyarrow as pa
+@dataclass(frozen=True)
+class Specialist:
+    """A single-purpose model. ``load`` gives its tokenizer and what runs it, once for each task."""
 
-        score = make()
-        kind = pa.map_(pa.string(), pa.float32())
-        for batch in batches:
-            found = score([t or "" for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([list(f.items()) for f in found], kind)], names=[*batch.schema.names, column])
+    load: Callable[[], tuple[object, Infer]]
+    labels: dict[int, str]
+    length: int = 256
 
-    return df.mapInArrow(run, schema)
+
+def input_text(system: Column, user: Column) -> Column:
+    """What the model that scores all labels reads."""
+    return F.concat(F.lit("[SYSTEM]\n"), F.coalesce(system, F.lit("")), F.lit("\n[USER]\n"), F.coalesce(user, F.lit("")))
 
 
-def onnx_scorer(path: str, tokenize: Callable[[str], tuple[list[int], list[int]]], labels: list[str], threads: int = 1) -> Callable:
-    """A ``make`` for ``with_scores`` that runs an ONNX model in batches; sigmoid per label."""
+def analyzed(df: DataFrame, text: str, specialists: dict[str, Specialist], column: str = "analysis") -> DataFrame:
+    """``df`` with a struct of ``logits`` (by sequence model), ``labels`` and ``offsets`` (of the
+    token model ``pii_ner``) and ``errors``: what the models say of each text.
 
-    def make():
-        import numpy as np
-        import onnxruntime
+    A model that fails leaves an error and nothing else of its own; what the
+    others found is kept. A blank text isn't given to sequence models. Models are
+    loaded once for each task and run over Arrow batches.
+    """
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    kind = T.StructType(
+        [
+            T.StructField("logits", T.MapType(T.StringType(), T.ArrayType(T.FloatType()))),
+            T.StructField("labels", T.ArrayType(T.StringType())),
+            T.StructField("offsets", T.ArrayType(span)),
+            T.StructField("errors", T.ArrayType(T.StringType())),
+        ]
+    )
+    schema = T.StructType([*df.schema.fields, T.StructField(column, kind)])
+
+    def run(batches):
+        import pyarrow as pa
 
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = threads
-        session = onnxruntime.InferenceSession(path, options)
-        inputs = [i.name for i in session.get_inputs()]
+        arrow = pa.struct([("logits", pa.map_(pa.string(), pa.list_(pa.float32()))), ("labels", pa.list_(pa.string())), ("offsets", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("errors", pa.list_(pa.string()))])
+        loaded = {name: s.load() for name, s in specialists.items()}
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            found = [{"logits": [], "labels": None, "offsets": None, "errors": []} for _ in texts]
+            for name, (tokenizer, infer) in loaded.items():
+                own = specialists[name]
+                asked = [i for i, t in enumerate(texts) if t.strip()] if name != "pii_ner" else list(range(len(texts)))
+                try:
+                    if name == "pii_ner":
+                        rows = [tokenizer.encode_with_offsets(texts[i], own.length) for i in asked]
+                    else:
+                        rows = [tokenizer.encode(texts[i], own.length) for i in asked]
+                    said = infer([r[0] for r in rows], [r[1] for r in rows]) if rows else []
+                    for i, row, logits in zip(asked, rows, said, strict=True):
+                        if name == "pii_ner":
+                            best = [max(range(len(c)), key=lambda k: (c[k], -k)) for c in logits]  # noqa: B023
+                            found[i]["labels"] = [own.labels.get(k, "O") for k in best]
+                            found[i]["offsets"] = [{"start": s, "end": e} for s, e in row[2]]
+                        else:
+                            found[i]["logits"].append((name, [float(x) for x in logits]))
+                except Exception as error:  # noqa: BLE001  any fault of a model is its own
+                    for one in found:
+                        one["errors"].append(f"{name}: {error}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, column])
 
-        def score(texts: list[str]) -> list[dict[str, float]]:
-            pairs = [tokenize(t) for t in texts]
-            feeds = dict(zip(inputs, (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1)), strict=False))
-            found = 1 / (1 + np.exp(-np.asarray(session.run(None, feeds)[0], dtype=np.float64)))
-            return [dict(zip(labels, row.tolist(), strict=False)) for row in found]
+    return df.mapInArrow(run, schema)
 
-        return score
 
-    return make
+def specialist_results(df: DataFrame, specialists: dict[str, Specialist], column: str = "analysis") -> DataFrame:
+    """``df`` with ``scores`` (by model; 0 for a blank text, and contains_personal_data 1 or 0)
+    and ``entities``, from what ``analyzed`` added. A failed model has no score."""
+    entries = []
+    failed = lambda name: F.exists(F.col(f"{column}.errors"), lambda e: e.startswith(f"{name}: "))
+    pair = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("float").alias("value"))
+    for name, own in specialists.items():
+        if name == "pii_ner":
+            continue
+        logits = F.element_at(f"{column}.logits", name)
+        score = sequence_score(logits, len(own.labels), attack_class(name, own.labels))
+        entries.append(F.when(~failed(name), pair(name, F.coalesce(score, F.lit(0.0)))))
+    if "pii_ner" in specialists:
+        df = df.withColumn("entities", F.coalesce(entities(F.col(f"{column}.labels"), F.col(f"{column}.offsets")), F.array().cast(_ENTITY)))
+        entries.append(F.when(~failed("pii_ner"), pair("contains_personal_data", F.when(F.size("entities") > 0, 1.0).otherwise(0.0))))
+    return df.withColumn("scores", F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+
+
+def onnx_infer(path: str, threads: int = 1) -> Infer:
+    """Runs an ONNX model over batches of ids and masks."""
+    import numpy as np
+    import onnxruntime
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = threads
+    session = onnxruntime.InferenceSession(path, options)
+    inputs = [i.name for i in session.get_inputs()]
+
+    def infer(ids: list[list[int]], masks: list[list[int]]) -> list:
+        feeds = dict(zip(inputs, (np.array(x, dtype=np.int64) for x in (ids, masks)), strict=False))
+        return np.asarray(session.run(None, feeds)[0], dtype=np.float64).tolist()
+
+    return infer

@@ -48,30 +48,56 @@ class WordPiece:
             at = end
         return out or [(self.special.unk, 0, len(data))]
 
+    def _cut(self, rows: list[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
+        """The rows with the end token, their tail if they are too many, behind the start token again (unless its id is 0)."""
+        rows = [*rows, (self.special.sep, -1, -1)]
+        if len(rows) > length:
+            rows = rows[-length:]
+            if rows[0][0] != self.special.cls and self.special.cls != 0:
+                rows[0] = (self.special.cls, -1, -1)
+        return rows + [(self.special.pad, -1, -1)] * (length - len(rows))
+
     def encode(self, text: str, length: int) -> tuple[list[int], list[int]]:
-        """Ids and mask of exactly ``length``; what is too long keeps its tail behind the start token."""
+        """Ids and mask of exactly ``length``. A word's pieces are taken whole; what is then too long keeps its tail."""
         if length <= 0:
             return [], []
-        ids = [self.special.cls]
+        rows = [(self.special.cls, -1, -1)]
         for word in text.split():
-            ids += [p[0] for p in self.pieces(word.lower() if self.lower else word)]
-            if len(ids) >= length - 1:
+            rows += self.pieces(word.lower() if self.lower else word)
+            if len(rows) >= length - 1:
                 break
-        ids = [*ids, self.special.sep][-length:] if len(ids) + 1 > length else [*ids, self.special.sep]
-        if len(ids) == length and self.special.cls != 0:
-            ids[0] = self.special.cls
-        return ids + [self.special.pad] * (length - len(ids)), [1] * len(ids) + [0] * (length - len(ids))
+        used = min(length, len(rows) + 1)
+        return [r[0] for r in self._cut(rows, length)], [1] * used + [0] * (length - used)
 
-    def offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, first byte, last byte + 1) within the text of all pieces."""
-        out, at, data = [], 0, text.encode()
+    def encode_with_offsets(self, text: str, length: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """Ids, mask and byte offsets within the text (-1, -1 for special tokens) of exactly ``length``.
+
+        Unlike ``encode`` it stops inside a word. Offsets are those of the word in
+        small letters, whose bytes may be more than those of the word as written.
+        """
+        if length <= 0:
+            return [], [], []
+        rows = [(self.special.cls, -1, -1)]
+        for i, start, end in self._placed(text):
+            rows.append((i, start, end))
+            if len(rows) >= length - 1:
+                break
+        used = min(length, len(rows) + 1)
+        cut = self._cut(rows, length)
+        return [r[0] for r in cut], [1] * used + [0] * (length - used), [(r[1], r[2]) for r in cut]
+
+    def _placed(self, text: str) -> Iterator[tuple[int, int, int]]:
+        at, data = 0, text.encode()
         for word in text.split():
             raw = word.encode()
             at = data.index(raw, at)
-            found = self.pieces(word.lower() if self.lower else word)
-            out += [(i, at + s, at + min(e, len(raw))) for i, s, e in found]
+            for i, start, end in self.pieces(word.lower() if self.lower else word):
+                yield i, at + start, at + end
             at += len(raw)
-        return out
+
+    def offsets(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, first byte, last byte + 1) within the text of all pieces."""
+        return list(self._placed(text))
 
 
 class Unigram:
@@ -139,3 +165,52 @@ def tokenized(df: DataFrame, text: str, make: Callable[[], WordPiece | Unigram],
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1))], names=[*batch.schema.names, "ids", "mask"])
 
     return df.mapInArrow(run, schema)
+
+
+def from_file(path: str) -> WordPiece | Unigram:
+    """The tokenizer of a ``vocab.txt``, a ``tokenizer.json``, or a folder that holds one of them (the latter first)."""
+    import json
+    import os
+
+    if os.path.isdir(path):
+        names = [n for n in ("tokenizer.json", "vocab.txt") if os.path.exists(os.path.join(path, n))]
+        if not names:
+            raise FileNotFoundError(f"no tokenizer.json or vocab.txt in {path}")
+        path = os.path.join(path, names[0])
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if not path.endswith(".json"):
+        words = [line.strip() for line in text.splitlines() if line.strip()]
+        return _word_piece({w: i for i, w in enumerate(words)})
+    raw = json.loads(text)
+    model = raw.get("model") or {}
+    vocab = model.get("vocab")
+    if str(model.get("type") or "").strip().lower() != "unigram":
+        found = _vocabulary(vocab)
+        if not found:
+            raise ValueError("tokenizer.json has no vocabulary")
+        return _word_piece(found)
+    pieces = [(i, p[0], float(p[1])) for i, p in enumerate(vocab or []) if isinstance(p, list) and len(p) > 1 and p[0] and isinstance(p[0], str) and isinstance(p[1], (int, float))]
+    if not pieces:
+        raise ValueError("tokenizer.json has no vocabulary")
+    known = {p: i for i, p, _ in pieces}
+    listed = (raw.get("post_processor") or {}).get("special_tokens") or {}
+    special = lambda name: ((listed.get(name) or {}).get("ids") or [known.get(name, -1)])[0]
+    return Unigram([(p, s) for _, p, s in pieces], Special(special("[CLS]"), special("[SEP]"), special("[PAD]"), int(model.get("unk_id") or 0)), bool(model.get("byte_fallback")))
+
+
+def _word_piece(vocab: dict[str, int]) -> WordPiece:
+    return WordPiece(vocab, Special(*(vocab.get(name, 0) for name in ("[CLS]", "[SEP]", "[PAD]", "[UNK]"))))
+
+
+def _vocabulary(raw: object) -> dict[str, int]:
+    """Ids by token from a map, a list of scored tokens, or a list of tokens with ids."""
+    if isinstance(raw, dict):
+        return {k: int(v) for k, v in raw.items() if isinstance(v, (int, float))}
+    out: dict[str, int] = {}
+    for i, item in enumerate(raw if isinstance(raw, list) else []):
+        if isinstance(item, list) and item and isinstance(item[0], str) and item[0]:
+            out[item[0]] = i
+        elif isinstance(item, dict) and isinstance(item.get("token"), str) and item["token"]:
+            out[item["token"]] = int(item["id"]) if isinstance(item.get("id"), (int, float)) else i
+    return out

@@ -6,6 +6,8 @@ is judged in one pass within whole-stage code generation.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,29 @@ from guardframe.plans.config import Guard, ToolGate
 INSTRUCTIONS = {"data_exfil": "data_exfil_instruction", "unsafe_action": "unsafe_action_instruction", "privilege_escalation": "privilege_escalation_instruction"}
 
 
-def rule_pattern(pattern: str, exact: bool, dot_all: bool = False) -> str:
+#: A pattern that no text matches.
+NEVER = r"[^\x{0}-\x{10FFFF}]"
+
+
+def rule_pattern(pattern: str, exact: bool, dot_all: bool = False, instead: str | None = None) -> str:
+    """A rule's pattern with its flags. If it can't be compiled, ``instead`` takes its place, or one that never matches."""
     flags = ("" if exact else "i") + ("s" if dot_all else "")
-    return (f"(?{flags})" if flags else "") + pattern
+    for text in (pattern, instead):
+        full = (f"(?{flags})" if flags else "") + (text or "")
+        try:
+            re.compile(re.sub(r"\(\?[a-z]+\)", "", full).replace(r"\z", r"\Z"))
+        except re.error:
+            continue
+        if text is not None:
+            return full
+    return NEVER
+
+
+def rules(shell_only: bool = True) -> list[dict[str, str]]:
+    """The rules as a table: id, category, pattern; the built-in ones, which aren't single patterns, on request."""
+    own = [{"rule_id": r, "category": c, "pattern": rule_pattern(p, e)} for r, c, p, e in P.SHELL_RULES]
+    built_in = [{"rule_id": r, "category": "data_exfil", "pattern": ""} for r in ("read_sensitive_files", "http_large_body_exfil")]
+    return own if shell_only else own + built_in
 
 
 def normalized_shell(command: Column) -> Column:
@@ -136,6 +158,20 @@ def judge(calls: DataFrame, cfg: ToolGate, name: str = "name", kind: str = "type
     return out.withColumns({"action": action, "primary": F.coalesce(F.try_element_at(blocking, F.lit(1)), F.try_element_at("hits", F.lit(1)))})
 
 
+def execute(calls: DataFrame, cfg: ToolGate, key: str = "id", vendor: str = "acme", **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a tool runner does with ``calls``: (hits, errors, allowed).
+
+    Every hit is a row, also those that only warn; a blocked call gives an error
+    row with its primary rule and isn't among the allowed ones, which are left as
+    they came.
+    """
+    judged = judge(calls, cfg, **columns)
+    hits = judged.select(key, F.explode_outer("hits").alias("__hit")).where(F.col("__hit").isNotNull()).select(key, "__hit.*")
+    blocked = judged.where(F.col("action") == "block")
+    errors = blocked.select(key, F.lit(f"{vendor}_tool_policy_violation").alias("type"), F.lit("tool_blocked").alias("code"), F.col("primary.rule_id").alias("rule_id"), F.col("primary.category").alias("category"))
+    return hits, errors, judged.where(F.col("action") != "block").select(*calls.columns)
+
+
 def guard(df: DataFrame, cfg: Guard, text: str = "text") -> DataFrame:
     """The same rules over model output: adds ``decision`` (allow or warn), ``note`` and
     ``guard_hits``. It never blocks; the text is taken as it is, and dots cross lines."""

@@ -45,20 +45,6 @@ def bundle_faults(listed: DataFrame, found: DataFrame) -> DataFrame:
     return listed.join(own, "path", "left").withColumn("fault", fault).where(F.col("fault").isNotNull()).select("path", "fault")
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    """A word-piece vocabulary, one piece a line; blank lines take no id."""
-    words = [line.strip() for line in Path(path).read_text().splitlines() if line.strip()]
-    return {w: i for i, w in enumerate(words)}
-
-
-def tokenizer_file(path: str) -> tuple[str, list[tuple[str, float]] | dict[str, int]]:
-    """A tokenizer.json: ("unigram", scored pieces) or ("wordpiece", vocabulary)."""
-    model = json.loads(Path(path).read_text())["model"]
-    if isinstance(model["vocab"], list):
-        return "unigram", [(p, float(s)) for p, s in model["vocab"]]
-    return "wordpiece", model["vocab"]
-
-
 def label_map(path: str) -> dict[int, str]:
     """Class labels from a JSON list or an id map."""
     found = json.loads(Path(path).read_text())
@@ -66,6 +52,15 @@ def label_map(path: str) -> dict[int, str]:
     return {int(k): v for k, v in (enumerate(found) if isinstance(found, list) else found.items())}
 
 
+def thresholds(text: str) -> dict[str, dict[str, float]]:
+    """Warn and block thresholds by label from YAML (or JSON); a label without one of them lacks it."""
+    from guardframe.plans.config import _parsed
+
+    found = _parsed(text)
+    found = found.get("thresholds", found)
+    return {label: {k: float(v) for k, v in (levels or {}).items() if k in ("warn", "block") and v is not None} for label, levels in found.items()}
+
+
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A small JSON state file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
