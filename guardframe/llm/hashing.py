@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once, split between words.
-STRETCH = 1 << 19
+STRETCH = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 GOLD, _MIX = np.uint64(_BASE), np.uint64(0xBF58476D1CE4E5B9)
@@ -71,7 +71,7 @@ def _stretch(data: np.ndarray, firsts: np.ndarray, table: np.ndarray) -> tuple[n
     if not at.size:
         return at, np.zeros(0, dtype=np.uint64)
     ends = np.append(at[1:], data.size)  # what lies between adds nothing
-    up, down = _powers(max(20, int(data.size).bit_length()))
+    up, down = _powers(max(18, int(data.size).bit_length()))
     values *= up[: data.size]
     sums = np.zeros(data.size + 1, dtype=np.uint64)
     np.cumsum(values, out=sums[1:])
