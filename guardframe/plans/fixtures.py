@@ -126,6 +126,10 @@ LOGIT_CASES = [
     ("bad_p", [-5.0, 5.0], "prompt_injection", {0: "safe", 1: "prompt_injection"}),
     ("safe_j", [4.0, -4.0], "jailbreak", {0: "safe", 1: "jailbreak"}),
     ("bad_j", [-4.0, 4.0], "jailbreak", {0: "safe", 1: "jailbreak"}),
+    ("first", [2.5, -1.0], "jailbreak", {0: "Attack", 1: "benign"}),
+    ("flip", [1.0, 0.5], "prompt_injection", {0: "unsafe", 1: "other"}),
+    ("numbered", [0.25, 3.0], "x", {0: "LABEL_0", 1: "LABEL_1"}),
+    ("plain", [1.5, -0.5], "x", {0: "bad", 1: "benign"}),
 ]
 
 _SSE_SECRET = 'data: {"type":"response.output_text.delta","delta":"code key-demo-zyxwvutsrqponmlkjihg"}\n\ndata: [DONE]\n\n'
@@ -163,4 +167,4 @@ BEARER_CASES = [("ok", "Bearer abc123"), ("low", "bearer xyz"), ("empty", ""), (
 FALLBACK_CASES = [(True, "network_error", "v1"), (True, "invalid_license", "v1"), (False, "other_error", "v1"), (True, "network_error", " "), (True, "other_error", "v1"), (False, "network_error", "")]
 
 #: host
-HOST_CASES = [("localhost",), ("localhost:8080",), ("127.0.0.1",), ("10.1.2.3:443",), ("172.16.0.1",), ("172.32.0.1",), ("192.168.9.9",), ("169.254.169.254",), ("8.8.8.8",), ("example.com",), ("[::1]:80",), ("fe80::1",), ("fd00::1",), ("2001:db8::1",)]
+HOST_CASES = [("localhost",), ("localhost:8080",), ("127.0.0.1",), ("10.1.2.3:443",), ("172.16.0.1",), ("172.32.0.1",), ("192.168.9.9",), ("169.254.169.254",), ("8.8.8.8",), ("example.com",), ("[::1]:80",), ("fe80::1",), ("fd00::1",), ("2001:db8::1",), ("::ffff:10.9.8.7",), ("::ffff:9.9.9.9",)]
