@@ -5,9 +5,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,6 +74,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+_released_at = 0.0
+
+
+def _release() -> None:
+    """Gives free memory back to the system, once a second at most, as it takes some milliseconds."""
+    global _released_at
+    if time.monotonic() - _released_at > 1:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+        _released_at = time.monotonic()
+
+
 def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` for mapInArrow, after which the worker gives its free memory back.
 
@@ -86,11 +100,7 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-            if trim is not None:
-                trim(0)
+            _release()
 
     return to_end
 

@@ -19,9 +19,8 @@ def connected_components(links: DataFrame, rounds: int | None = None) -> DataFra
     """
     both = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
-    done = 0
+    labels, done = materialise(labels, "labels"), 0
     while True:
-        labels = materialise(labels, "labels")
         if done == rounds:
             return labels
         done += 1
@@ -29,8 +28,7 @@ def connected_components(links: DataFrame, rounds: int | None = None) -> DataFra
         step = labels.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("v").alias("root"), F.col("root").alias("far"))
         moved = step.join(jump, "root", "left").select("v", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
-        if rounds is None:
-            moved = materialise(moved, "moved")
-            if not moved.where("root <> old").limit(1).count():
-                return moved.select("v", "root")
+        moved = materialise(moved, "moved")
         labels = moved.select("v", "root")
+        if rounds is None and not moved.where("root <> old").limit(1).count():
+            return labels

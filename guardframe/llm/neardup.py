@@ -33,7 +33,7 @@ TREES, BRANCH = 2, 3
 #: Single documents of a node that is compared exhaustively (beyond, pairs across components
 #: count), documents that any such node may have, and levels after which larger nodes are
 #: compared block against block instead of branching.
-LEAF, MOST, DEPTH = 2000, 40_000, 4
+LEAF, MOST, DEPTH = 5000, 40_000, 4
 #: Partners that one copy of a hub's set is held against.
 PART = 200
 #: Pivots that the documents of large nodes are held against, one after the other.
@@ -477,10 +477,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if pairs is None:
             break
         pairs = materialise(pairs, "pairs")
+        if not pairs.limit(1).count():
+            break  # no document of a crowded node is like the pivot of another component
         some = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select("id")).distinct()
         found = materialise(_confirmed(pairs, _sets(docs, some, key, text, size), percent), "links")
         links = found if links is None else links.unionAll(found)
-        roots = connected_components(links, 3)
+        roots = connected_components(links, 2)  # pivots and what is like them are stars
         crowd = _labelled(crowd, roots)
     for _ in range(2):
         pairs = materialise(_proposed(leaves(_labelled(alive, roots)), percent), "pairs")
