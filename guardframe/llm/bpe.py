@@ -30,8 +30,8 @@ from guardframe.llm.common import released, slices
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-žß]+|[0-9]|[^a-zà-öø-žß0-9]+")
 _WINDOW = 16
-#: A chunk ends where the hash has these bits clear: every 1024 characters on average.
-_MASK = np.uint32(((1 << 10) - 1) << 16)
+#: A chunk ends where the hash has these bits clear: every 2048 characters on average.
+_MASK = np.uint32(((1 << 11) - 1) << 16)
 _FACTOR = 0x9E3779B1
 
 
@@ -68,7 +68,7 @@ def _byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts through bounded caches of words and chunks."""
 
-    def __init__(self, path: str, words: int = 50_000, chunk_chars: int = 4 << 20):
+    def __init__(self, path: str, words: int = 80_000, chunk_chars: int = 5 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
