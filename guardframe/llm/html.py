@@ -48,8 +48,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: A template token is on this share of its layout's pages, and on so many pages, at least.
 SHARE, PAGES = 0.5, 3
-#: Rows of (host, template) that are broadcast at most; beyond, the same join is shuffled.
-BROADCAST_HOSTS = 50_000
+#: Bytes of a written table that is broadcast at most; beyond, the same join is shuffled.
+BROADCAST_BYTES = 16 << 20
 #: (host, token) sums that a task holds before it passes them on.
 HELD = 200_000
 #: Levels of open elements; deeper ones stand beside each other, as in browsers.
@@ -408,11 +408,16 @@ def slots(blocks: list[Block], root: str | None, constant: frozenset[str]) -> st
     return "\n\n".join(b.text for b in [b for b in own if _text_token(b) not in constant] or own)
 
 
+def _sized(written: DataFrame) -> int:
+    """Bytes of a written table, as its files have them."""
+    return int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _counted(pages: DataFrame) -> DataFrame:
     """The pages that templates are counted over: of a host's pages with equal html, one."""
     known = pages.withColumn("content", F.xxhash64("html")).withColumn("row", F.monotonically_increasing_id())
     copies = materialise(known.groupBy("host", "content").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("host", "content", "first"), "copies")
-    few = copies.count() <= BROADCAST_HOSTS
+    few = _sized(copies) <= BROADCAST_BYTES
     found = known.join(F.broadcast(copies) if few else copies, ["host", "content"], "left")
     return found.where(F.col("first").isNull() | (F.col("row") == F.col("first"))).select("host", "key", "html")
 
@@ -424,15 +429,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     with the empty name; repeated rows each give a row, and count once for the
     template, as do all pages with equal html; all other columns pass through,
     whatever their names, but for one called ``text``, which is replaced. Templates
-    are broadcast if there are few hosts, and joined by host otherwise.
+    are broadcast if their tables are small, and joined by host otherwise.
     """
     own = [c for c in pages.columns if c not in (html, "text")]
     host = host_of(url)
     inputs = _counted(pages.select(host.alias("host"), F.col(key).cast("string").alias("key"), F.col(html).alias("html")))
     found = layouts(inputs)
-    few = found.count() <= BROADCAST_HOSTS
+    few = _sized(found) <= BROADCAST_BYTES
     found = F.broadcast(found) if few else found
-    by_layout = templates(inputs, found).groupBy("host").agg(F.collect_list(F.struct("layout", "root", "constant")).alias("templates"))
+    deduced = templates(inputs, found)
+    few = few and _sized(deduced) <= BROADCAST_BYTES
+    by_layout = deduced.groupBy("host").agg(F.collect_list(F.struct("layout", "root", "constant")).alias("templates"))
     known = by_layout.join(found, "host", "left")
     # The own columns travel in one, so that none of their names can clash.
     kept = pages.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), host.alias("host"), F.col(html).alias("html"))

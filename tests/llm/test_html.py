@@ -117,3 +117,14 @@ def test_names_cannot_pass_for_blocks():
     assert paths == ["div.a_b.x_y", "div.a_b.x_y>p"] and blocks[0].path == paths[1]
     deep = parse("<div>" * 1000 + "<p>inside</p>")[1]
     assert [b.text for b in deep] == ["inside"]
+
+
+def test_templates_that_are_not_broadcast(spark, monkeypatch):
+    from guardframe.llm import html
+
+    page = lambda i: f'<html><body><div class="top">Welcome to the site</div><div class="box"><p>story {i} {"word " * (i + 3)}</p></div></body></html>'
+    df = spark.createDataFrame([(i, f"http://host{i % 2}.example/{i}", page(i)) for i in range(12)] + [(0, "http://host0.example/0", page(0))], "page_id long, url string, html string").repartition(3)
+    found = sorted(map(tuple, extract(df).collect()))
+    assert 0 < html._sized(html._counted(df.selectExpr("'h' AS host", "url AS key", "html"))) and len(found) == 13
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, extract(df).collect())) == found
