@@ -344,3 +344,5 @@ def test_bundle_check(spark, tmp_path):
 
 def test_captured(spark):
     assert [r[0] for r in spark.createDataFrame([("ab",), ("éé",)], "t string").select(responses.captured(F.col("t"), 3)).collect()] == [True, False]
+    stream = 'data: {"text":"just"}\n\n'
+    assert [spark.range(1).select(responses.captured_text(F.lit(stream), most)).first()[0] for most in (99, 9)] == ["just", None]
