@@ -22,7 +22,7 @@ from guardframe.llm.common import materialise, released
 
 #: Distinct vectors in a shard, links of a vector (twice as many on the lowest level), and
 #: how many vectors a search keeps while it builds and while it answers.
-SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16_384, 12, 64, 128
+SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16_384, 12, 64, 320
 #: Queries in a block: what is sent to every task at once.
 QUERY_BLOCK = 20_000
 
