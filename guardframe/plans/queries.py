@@ -215,20 +215,31 @@ def _banned_out(text: str) -> str:
     return text
 
 
-def _legacy_sql() -> str:
-    banned = f"CASE WHEN {_banned_sql('text', X.BANNED)} THEN {_banned_out('text')} ELSE text END"
+def _legacy_sql(source: str, key: str, words, action: str) -> str:
+    """The regex-only path: banned words are redacted (or block), personal data is redacted."""
+    said = _banned_sql("text", words)
+    banned = f"CASE WHEN {said} THEN {_banned_out('text')} ELSE text END" if action == "redact" else "text"
     content = f"CASE WHEN {_H['pii']} THEN {_pii_sql('b')} ELSE b END"
-    reason = "CASE " + " ".join(f"WHEN {_H[c]} THEN '{r}'" for c, r in _REASONS.items()) + " END"
-    named = [("banned_words", _banned_sql("text", X.BANNED)), *((c, _H[c]) for c in ("injection", "pii", "prompt_injection", "jailbreak", "toxicity"))]
+    blocks = [(said, "prompt blocked due to banned content")] if action == "block" else []
+    reason = "CASE " + " ".join(f"WHEN {sql} THEN '{r}'" for sql, r in [*blocks, *((_H[c], r) for c, r in _REASONS.items())]) + " END"
+    named = [("banned_words", said), *((c, _H[c]) for c in ("injection", "pii", "prompt_injection", "jailbreak", "toxicity"))]
     decisions = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {sql} THEN '{c}' END" for c, sql in named) + "], lambda x: x IS NOT NULL), ',')"
-    return f"SELECT id, {decisions} AS decisions, {reason} AS block_reason, {reason} IS NOT NULL AS blocked, {content} AS content FROM (SELECT *, {banned} AS b FROM {values('id, text', X.INPUT_CASES)})"
+    return f"SELECT {key}, {decisions} AS decisions, {reason} AS block_reason, {reason} IS NOT NULL AS blocked, {content} AS content FROM (SELECT *, {banned} AS b FROM {source})"
 
 
-@query(_legacy_sql())
+def _legacy(df: DataFrame, key: str, legacy: Legacy) -> DataFrame:
+    found = policy.before_model(df, Security(enabled=False), legacy)
+    return found.select(key, F.array_join(F.transform("decisions", lambda h: h["category"]), ",").alias("decisions"), "block_reason", "blocked", "content")
+
+
+@query(_legacy_sql(values("id, text", X.INPUT_CASES), "id", X.BANNED, "redact"))
 def policy_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = rows(spark, "id string, text string", X.INPUT_CASES)
-    found = policy.before_model(cases, Security(enabled=False), _LEGACY)
-    return found.select("id", F.array_join(F.transform("decisions", lambda h: h["category"]), ",").alias("decisions"), "block_reason", "blocked", "content")
+    return _legacy(rows(spark, "id string, text string", X.INPUT_CASES), "id", _LEGACY)
+
+
+@query(_legacy_sql("documents", "doc_id", WORDS, "block"))
+def policy_legacy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", Legacy(pii="redact", words=WORDS))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,6 +348,25 @@ def _shell_sql(mode: str) -> str:
     return f"WITH calls AS {_CALLS} " + " UNION ALL ".join(parts)
 
 
+_COMMANDS = f"(SELECT conv_id, turn, text AS c, {_normal_sql('text')} AS n FROM conversations)"
+
+
+def _turns_sql() -> str:
+    either = lambda p: f"({sql_matches('c', p)} OR {sql_matches('n', p)})"
+    parts = [f"SELECT conv_id, turn, '{r}' AS rule_id, '{toolgate.rule_action(c, 'all_tools')}' AS action FROM calls WHERE trim(c) <> '' AND {either(toolgate.rule_pattern(p, e))}" for r, c, p, e in P.SHELL_RULES]
+    parts.append(f"SELECT conv_id, turn, 'read_sensitive_files', 'block' FROM calls WHERE trim(c) <> '' AND {either(P.READ_VERBS)} AND {either(P.SENSITIVE_PATHS)}")
+    return f"WITH calls AS {_COMMANDS}, hits AS ({' UNION ALL '.join(parts)}) SELECT calls.conv_id, calls.turn, n AS normalized, coalesce(h.rules, '') AS rules, coalesce(h.action, 'allow') AS action FROM calls LEFT JOIN (SELECT conv_id, turn, string_agg(rule_id, ',' ORDER BY rule_id) AS rules, CASE WHEN bool_or(action = 'block') THEN 'block' ELSE 'warn' END AS action FROM hits GROUP BY ALL) h USING (conv_id, turn)"
+
+
+@query(_turns_sql())
+def toolgate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool gate over whole tables: every turn's text as a shell command."""
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("shell").alias("name"), F.lit("shell").alias("type"), F.to_json(F.struct(F.col("text").alias("command"))).alias("args"), "text")
+    found = toolgate.judge(calls, ToolGate(mode="all_tools"))
+    rules = F.array_join(F.array_sort(F.transform("hits", lambda h: h["rule_id"])), ",")
+    return found.select("conv_id", "turn", toolgate.normalized_shell(F.col("text")).alias("normalized"), rules.alias("rules"), "action")
+
+
 def _calls(spark: SparkSession) -> DataFrame:
     return rows(spark, "id string, name string, type string, args string", X.TOOL_CALLS)
 
