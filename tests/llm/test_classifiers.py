@@ -92,6 +92,30 @@ def test_swaps_are_made_by_sentence():
         assert any(set(more.tolist()) == own(w) for w in toxicity.IDENTITY_TERMS[3])
 
 
+def test_sentences_anywhere_have_twins():
+    text = "some men came. " * 400 + "two jews left. " + "x\n" * 50 + "a woman sings"
+    pairs, three = toxicity.sentence_pairs(text), toxicity.TWINS
+    assert len(pairs) == 402 * three
+    for word, own in (("jews", pairs[-2 * three : -three]), ("woman", pairs[-three:])):
+        assert all(set(toxicity.document_features({word}).tolist()) == set(less.tolist()) for _, less in own)
+    features = toxicity.touched(np.unique(np.concatenate([x for p in pairs for x in p])))
+    w = np.random.default_rng(2).normal(size=features.size)
+    of = lambda some: w[np.isin(features, some)].sum()
+    changes = toxicity.moved(toxicity._counted(text), features)
+    assert np.isclose(w @ changes @ w, np.mean([(of(a) - of(b)) ** 2 for a, b in pairs]))
+    assert toxicity.moved([], features) is None and toxicity.moved(toxicity._counted("none"), features) is None
+
+
+def test_late_mentions_are_left_alone_beside_long_documents(spark):
+    """Many neutral mentions of another group, before those that matter or in a document of their own, hide none of them."""
+    docs, labels = biased(spark)
+    rows = [(r["doc_id"], "some men came. " * 60 + r["text"]) for r in docs.collect()] + [(9001, "some men came. " * 20_000)]
+    late = spark.createDataFrame(rows, docs.schema)
+    scorer = toxicity.Scorer(toxicity.learn(late, labels.unionAll(spark.createDataFrame([(9001, 0)], labels.schema))))
+    assert max(scorer.score(s) for s in ("the muslims of our street bake bread", "two muslims sat by the river")) < 0.5
+    assert scorer.score("some awfulness here") >= 0.5
+
+
 def test_recurrences_by_brute_force():
     for times in ([], [1], [2, 3, 9], [5, 5, 1, 70_000, 200_000]):
         expected = {}
