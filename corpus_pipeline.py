@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardframe.llm.bpe import encode_decode
-from guardframe.llm.common import materialise, table
+from guardframe.llm.common import materialise, numbered, table
 from guardframe.llm.decontaminate import without_overlaps
 from guardframe.llm.langid import UNKNOWN, held_out_fold, identify, learn_profiles
 from guardframe.llm.neardup import BROADCAST_IDS, near_duplicates
@@ -46,16 +46,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group (five-word shingles, similarity 0.8 or more): that
     with the least id. Every row is a document of its own, also one that shares its id or has none;
     of rows with equal ids an earlier one stays."""
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = materialise(near_duplicates(numbered, "__row", size=5, percent=80).select("__row", F.col("component_id").alias("__group")), "groups")
+    rows = numbered(docs, "__row")
+    found = materialise(near_duplicates(rows, "__row", size=5, percent=80).select("__row", F.col("component_id").alias("__group")), "groups")
     others = found.where(F.col("__row") != F.col("__group"))
-    members = others.unionAll(others.select(F.col("__group").alias("__row"), "__group").distinct()).join(numbered.select("__row", "doc_id"), "__row")
+    members = others.unionAll(others.select(F.col("__group").alias("__row"), "__group").distinct()).join(rows.select("__row", "doc_id"), "__row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     best = members.groupBy("__group").agg(F.min(order)["row"].alias("__row"))
     stays = best.select("__row")
     dropped = materialise(members.select("__row").join(stays, "__row", "left_anti"), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return numbered.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import itertools
 import shutil
 import tempfile
 import time
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name``, a number of its own for each row, the same whenever it is read.
+
+    Rows of a table as it was read from files are known by their places in these,
+    and only a row per file is kept; anything else is written out.
+    """
+    spark = df.sparkSession
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            place = df.metadataColumn("_metadata")
+            placed = df.select(*(F.col(f"`{c}`") for c in df.columns), place["file_path"].alias("__file"), place["row_index"].alias("__at"))
+        except AnalysisException:  # not of files, or of a kind without places
+            placed = None
+        if placed is not None:
+            files = sorted(placed.groupBy("__file").agg(F.count("*"), F.max("__at")).collect())
+            if all(n == last + 1 for _, n, last in files):  # each file is read once
+                starts = itertools.accumulate((n for _, n, _ in files), initial=0)
+                first = spark.createDataFrame([(f, s) for (f, *_), s in zip(files, starts)], "__file string, __first long")
+                return placed.join(F.broadcast(first), "__file").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__first") + F.col("__at")).alias(name))
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

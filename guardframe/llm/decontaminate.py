@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardframe.llm.common import materialise, released, slices
+from guardframe.llm.common import materialise, numbered, released, slices
 from guardframe.llm.hashing import GOLD, alphanumeric, mixed, word_hashes
 
 WINDOW, GRAM = 10, 5
@@ -231,12 +231,14 @@ def find_overlaps(docs: DataFrame, items: DataFrame, item_key: str = "item_id",
 
 
 def without_overlaps(docs: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with their columns."""
+    """The rows of ``docs`` that hold no window of an item, with their columns; no text is copied."""
     prints = materialise(item_prints(items, item_key, text), "prints")
-    documents = marked(docs, prints, text, True)
-    rows = materialise(matched(documents, prints).select(F.col("row").alias(f"{_OWN}row")), "contaminated")
+    own = numbered(docs, f"{_OWN}id")
+    documents = marked(own.select(f"{_OWN}id", F.col(f"`{text}`")), prints, text, False)
+    found = matched(documents, prints).select(F.col("row").alias(f"{_OWN}row"))
+    rows = materialise(documents.select(f"{_OWN}row", f"{_OWN}id").join(found, f"{_OWN}row").select(f"{_OWN}id"), "contaminated")
     few = rows.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(rows) if few else rows, f"{_OWN}row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.join(F.broadcast(rows) if few else rows, f"{_OWN}id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hit_words(hits: str = "hits") -> Column:

@@ -64,3 +64,33 @@ def test_run_over_the_small_table_by_brute_force(spark, sf_dir):
     found = pipeline.run(spark, sf_dir).collect()
     assert len(found) == len(expected) and {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in found} == expected
     assert len(pipeline.STAGES) == 5 and not re.search("SECRET", pipeline.ORACLE_SQL or "")
+
+
+def test_stages_write_no_copy_of_the_texts(spark, sf_dir, tmp_path):
+    import random
+    from pathlib import Path
+
+    from guardframe.llm.common import shared_dir
+
+    rng, folder = random.Random(8), Path(shared_dir(spark).removeprefix("file://"))
+    text = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(3000))
+    rows = [(i // 2, text()) for i in range(40)] + [(None, None)]
+    spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    size = lambda at: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    for stage, left in ((pipeline.near_dedup, rows), (pipeline.decontamination, rows + rows[:5])):
+        before = size(folder)
+        assert sorted(stage(spark, docs, sf_dir).collect(), key=str) == sorted(left, key=str)
+        assert size(folder) - before < size(tmp_path) / 2
+
+
+def test_numbers_are_of_one_row_each(spark, tmp_path):
+    from guardframe.llm.common import numbered
+
+    spark.range(500).withColumnRenamed("id", "doc_id").repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for df, n in ((docs, 500), (docs.where("doc_id % 2 = 0"), 250), (docs.unionAll(docs), 1000), (docs.crossJoin(spark.range(3)), 1500), (spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs"), 1000), (docs.where("false"), 0), (spark.range(9), 9)):
+        found = numbered(df, "__n")
+        assert found.columns == [*df.columns, "__n"] and found.select("__n").distinct().count() == found.count() == n
+        assert sorted(found.collect()) == sorted(found.repartition(3).collect())
+    assert {r["__n"] for r in numbered(docs, "__n").collect()} == set(range(500))
